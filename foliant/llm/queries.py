@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import p1_sample, p3_visual, p4_groups, p7_garbled, p8_tokens, p9_mix
+from foliant.llm import p1_sample, p3_visual, p4_groups, p7_garbled, p8_tokens, p9_mix, p10_content
 
-MODULES = (p1_sample, p3_visual, p4_groups, p7_garbled, p8_tokens, p9_mix)
+MODULES = (p1_sample, p3_visual, p4_groups, p7_garbled, p8_tokens, p9_mix, p10_content)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
