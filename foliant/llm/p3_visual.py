@@ -9,7 +9,8 @@ The lattice depends on what is seen only, so words that look the same get the
 same reading, whichever letters they were spelled with.
 
 Defined results: null stays null; blanks of any width become spaces; a joiner
-after a virama alters the drawn shape and is kept, elsewhere it is deleted;
+between a virama and a letter alters the drawn shape and is kept, elsewhere it
+is deleted; a vowel spelled as another vowel and a sign becomes that vowel;
 letter case, visible marks and the number of blanks make a difference.
 """
 
@@ -42,10 +43,16 @@ IGNORABLE = "­͏؜᠎​‎‏‪-‮⁠-⁤⁦-⁯︀-️﻿"
 # Hyphens drawn alike, and ligatures drawn as their letters.
 SAME_DRAWN = {"‐": "-", "‑": "-", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 
+# Vowels that may be spelled as another vowel and a sign, drawn alike.
+SPELLED_ALIKE = {
+    "अा": "आ", "अो": "ओ", "अौ": "औ", "आे": "ओ", "आै": "औ", "एे": "ऐ", "ाे": "ो", "ाै": "ौ", "𑒁𑒰": "𑒂",
+}
+
 WORD = re.compile("[A-Za-zÀ-ɏɐ-ʯ̀-ͯͰ-ԯḀ-῿]+")
 _LETTER = re.compile("[A-Za-zͰ-ԯ]")
 _IGNORED = re.compile(f"[{IGNORABLE}]")
 _JOINER = re.compile("[‌‍]")
+_ALIKE = re.compile("|".join(SPELLED_ALIKE))
 LEAVE = -12.0  # log score of a step between scripts
 
 _OPTIONS = {c: letters for letters in LOOK_ALIKES for c in letters}
@@ -69,8 +76,8 @@ def _plain(c: str) -> str:
 
 
 def _keeps(text: str, at: int) -> bool:
-    """Does the joiner at ``at`` follow a virama, and so alter the drawn shape?"""
-    return at > 0 and unicodedata.combining(text[at - 1]) == 9
+    """Does the joiner at ``at`` stand between a virama and a letter, and so alter the drawn shape?"""
+    return 0 < at < len(text) - 1 and unicodedata.combining(text[at - 1]) == 9 and text[at + 1].isalpha()
 
 
 class _Plain(dict):
@@ -126,6 +133,7 @@ class Canonical:
             if _JOINER.search(out):
                 out = "".join(c for i, c in enumerate(out) if c not in "‌‍" or _keeps(out, i))
             out = unicodedata.normalize("NFC", out)
+            out = _ALIKE.sub(lambda m: SPELLED_ALIKE[m[0]], out)
         return WORD.sub(lambda m: self.word(m[0]), out) if _LETTER.search(out) else out
 
 
