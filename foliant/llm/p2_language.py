@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from foliant.runtime import read_table
 
 MIN_RUN = 8
-MAX_TRAIN = 900
+MAX_TRAIN = 800
 WINDOW = 60
 BUCKETS = 1 << 17
 STEPS = 50
@@ -132,6 +132,7 @@ def train(texts: list[list[str]], labels: list[int], languages: list[str], scrip
     for i, (s, y) in enumerate(seqs):
         words[i, : len(s)], gold[i, : len(s)] = [vocabulary[w] for w in s], y
     total = mask.sum()
+    i_at, t_at = np.indices(gold.shape, sparse=True)
     params = [np.zeros((len(used), k)), np.eye(k) * 2.0, np.zeros(k)]
     known = np.zeros_like(params[0])  # what the registry tells is not learned
     for script in SCRIPTS:
@@ -142,15 +143,16 @@ def train(texts: list[list[str]], labels: list[int], languages: list[str], scrip
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     empirical = np.zeros((k, k))
     np.add.at(empirical, (gold[:, :-1][mask[:, 1:]], gold[:, 1:][mask[:, 1:]]), 1)
-    target = np.eye(k)[gold]
     field = Field(languages, params[0], params[1], params[2])
     for step in range(1, STEPS + 1):
-        table = np.zeros((len(feats), k))
+        table = np.zeros((len(feats), k), dtype=np.float32)
         for c in range(k):
             table[:, c] = np.bincount(rows, (params[0] + known)[cols, c], minlength=len(feats))
         field.transitions, field.first = params[1], params[2]
         post, pairs = field.posteriors(table[words], lengths, True)
-        diff = np.where(mask[:, :, None], post.transpose(1, 0, 2) - target, 0.0)
+        diff = post.transpose(1, 0, 2).copy()
+        diff[i_at, t_at, gold] -= 1
+        diff[~mask] = 0
         word_g = np.zeros((len(feats), k))
         for c in range(k):
             word_g[:, c] = np.bincount(words[mask], diff[:, :, c][mask], minlength=len(feats))
