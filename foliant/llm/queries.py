@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import p1_sample, p2_language, p3_visual, p4_groups, p5_ocr, p7_garbled, p8_tokens, p9_mix, p10_content
+from foliant.llm import p1_sample, p2_language, p3_visual, p4_groups, p5_ocr, p6_overlap, p7_garbled, p8_tokens, p9_mix, p10_content
 
-MODULES = (p1_sample, p2_language, p3_visual, p4_groups, p5_ocr, p7_garbled, p8_tokens, p9_mix, p10_content)
+MODULES = (p1_sample, p2_language, p3_visual, p4_groups, p5_ocr, p6_overlap, p7_garbled, p8_tokens, p9_mix, p10_content)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
