@@ -49,7 +49,7 @@ _ENDS = re.compile(r"[।॥.?!…][”\"'’)\]]*$")
 
 
 def plain(text: str) -> str:
-    return unicodedata.normalize("NFC", _IGNORABLE.sub("", text).replace(" ", " ").replace(" ", " "))
+    return unicodedata.normalize("NFC", _IGNORABLE.sub("", text).replace("\u00a0", " ").replace("\u202f", " "))
 
 
 def is_page_number(line: str) -> bool:
