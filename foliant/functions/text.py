@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Character classes used by script profiles.
 DEVANAGARI = r"[\x{0900}-\x{097F}\x{A8E0}-\x{A8FF}]"
@@ -36,7 +37,7 @@ def script_class(c: Column, threshold: float = 0.2) -> Column:
     return F.when(limbu & deva, "mixed").when(limbu, "limbu").when(deva, "devanagari").otherwise("other")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Canonical composition, which Spark has no built-in for; null for null."""
     from unicodedata import is_normalized, normalize
@@ -48,7 +49,7 @@ def nfc(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def normalize(c: Column, collapse: bool = True) -> Column:
     """No-break spaces to spaces, NFC, controls and formats dropped but for line ends,
     tabs and joiners; runs of blanks to one space if asked."""
-    v = F.regexp_replace(nfc(F.translate(c, " ", " ")), r"[\p{Cc}\p{Cf}&&[^\n\t\r\x{200C}\x{200D}]]", "")
+    v = F.regexp_replace(nfc(F.translate(c, "\u00a0", " ")), r"[\p{Cc}\p{Cf}&&[^\n\t\r\x{200C}\x{200D}]]", "")
     return F.regexp_replace(v, "[ \t]+", " ") if collapse else v
 
 
@@ -77,10 +78,16 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
+def edits(a: Column, b: Column, band: int = 64) -> Column:
+    """Edit distance; most texts are near each other, so a band is tried before the whole table."""
+    near = F.levenshtein(a, b, band)
+    return F.when(near >= 0, near).otherwise(F.levenshtein(a, b))
+
+
 def cer(prediction: Column, reference: Column) -> Column:
     """Edit distance by reference length; an empty reference gives 0 to an empty prediction, else 1."""
     n = F.length(reference)
-    return F.when(n == 0, F.when(F.length(prediction) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(prediction, reference) / n)
+    return F.when(n == 0, F.when(F.length(prediction) == 0, 0.0).otherwise(1.0)).otherwise(edits(prediction, reference) / n)
 
 
 def token_distance(a: list, b: list) -> int:
@@ -93,7 +100,7 @@ def token_distance(a: list, b: list) -> int:
     return row[-1]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def wer(prediction: pd.Series, reference: pd.Series) -> pd.Series:
     """Word error rate over whitespace tokens; conventions as for the character rate. Null counts as empty."""
     out = []
@@ -103,7 +110,7 @@ def wer(prediction: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def grapheme_count(s: pd.Series) -> pd.Series:
     """Extended grapheme clusters, which Java's regular expressions part differently for Indic conjuncts."""
     import regex

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 
@@ -20,7 +21,7 @@ def long_metrics(df: DataFrame, keep: list[str], metrics: str = "metrics") -> Da
     return df.select(*keep, F.explode(metrics).alias("metric", "value")).where(finite(F.col("value")))
 
 
-def last_row_wins(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+def last_row_wins(df: DataFrame, keys: list[str], value: str, order: str | Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(value, order).alias(value))
 
 
@@ -63,7 +64,7 @@ def gates(result: DataFrame, *, min_pairs: int, min_absolute: float, min_win_rat
     return result.withColumn("failed", F.array_join(failed, ",")).withColumn("passed", F.size(failed) == 0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sign_test(wins: pd.Series, losses: pd.Series) -> pd.Series:
     """One-sided exact probability of at least so many wins; null without any decision."""
     def p(w: int, n: int):

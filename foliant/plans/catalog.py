@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.plans import corpus_queries  # noqa: F401
+from foliant.plans import corpus_queries, result_queries  # noqa: F401
 from foliant.plans.registry import QUERIES, SQL
 
 
