@@ -2,7 +2,7 @@
 
 Method: edit-distance segment join. An evaluation text of length L has at most
 k = L // 9 edits to any partner (a tenth of the longer length), so of k + 1
-disjoint segments one is intact and starts in the partner at most k characters
+disjoint segments one is intact and starts in the partner but few characters
 off. Training texts look up all their substrings of segment length; partners
 pass two bounds on hashed character n-grams (an edit changes at most n of them
 on either side) and are verified with banded dynamic programming. No bucket is
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -37,8 +36,8 @@ from foliant.llm.common import split_names, with_split
 from foliant.llm.p3_visual import Canonical, bigram_model
 from foliant.runtime import materialize, read_table
 
-BAND = math.log(1.3)  # lengths of one band differ by at most this factor
-QUERIES = 12_000  # evaluation texts in a block
+BAND = math.log(1.5)  # lengths of one band differ by at most this factor
+QUERIES = 16_000  # evaluation texts in a block
 PART = 20_000  # training texts in a part of a block
 BITS2, BITS3 = 512, 2048
 BATCH = 4_096  # pairs verified at once
@@ -71,11 +70,40 @@ def segments(text: str) -> list[tuple[str, int]]:
     return [(text[s : s + q], s) for s in (j * len(text) // n for j in range(n))] if q else []
 
 
-def _bits(text: str, n: int, bits: int) -> np.ndarray:
-    at = np.fromiter((zlib.crc32(text[i : i + n].encode("utf-8", "surrogatepass")) % bits for i in range(len(text) - n + 1)), dtype=np.int64)
-    out = np.zeros(bits, dtype=np.uint8)
-    out[at] = 1
-    return np.packbits(out).view(np.uint64)
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts in one array, where each begins, and their lengths."""
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    return flat, np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths
+
+
+def _grams(flat: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n characters from each place on."""
+    if len(flat) < n:
+        return np.zeros(0, dtype=np.uint64)
+    out = np.zeros(len(flat) - n + 1, dtype=np.uint64)
+    for i in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + (flat[i : len(flat) - n + 1 + i] + np.uint64(0x165667B1))
+    return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _spread(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, place): the places starts[i] .. starts[i] + counts[i] - 1 of all i."""
+    which = np.repeat(np.arange(len(counts)), counts)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
+
+
+def _bits(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """For each text the set of its n-grams, hashed to bits."""
+    out = np.zeros((len(lengths), bits // 64), dtype=np.uint64)
+    grams = _grams(flat, n) >> np.uint64(64 - bits.bit_length() + 1)
+    for s in range(0, len(lengths), 2048):
+        m = np.maximum(lengths[s : s + 2048] - n + 1, 0)
+        row, place = _spread(begins[s : s + 2048], m)
+        held = np.zeros((len(m), bits), dtype=np.uint8)
+        held[row, grams[place].astype(np.int64)] = 1
+        out[s : s + 2048] = np.packbits(held, axis=1).view(np.uint64)
+    return out
 
 
 def within(a: list[str], b: list[str], k: np.ndarray) -> np.ndarray:
@@ -124,42 +152,60 @@ def within(a: list[str], b: list[str], k: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Evaluation texts with their segments and bounds."""
+    """Evaluation texts with their segments and bounds, in arrays."""
+
+    CHARS = 12_000  # of the given texts looked up at once
 
     def __init__(self, texts: list[str]):
         self.texts = texts
-        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        self.two = np.stack([_bits(t, 2, BITS2) for t in texts])
-        self.three = np.stack([_bits(t, 3, BITS3) for t in texts])
-        held: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for i, t in enumerate(texts):
-            for s, at in segments(t):
-                held[s].append((i, at))
-        self.held = {s: (np.array([i for i, _ in v], dtype=np.int64), np.array([p for _, p in v], dtype=np.int64)) for s, v in held.items()}
-        self.sizes = sorted({len(s) for s in held})
-        self.mark = np.zeros(len(texts), dtype=bool)
-
-    def partners(self, text: str) -> np.ndarray:
-        """Evaluation texts that pass the segment and n-gram bounds."""
-        n, get = len(text), self.held.get
-        hits = [(v, p) for q in self.sizes for p in range(n - q + 1) if (v := get(text[p : p + q])) is not None]
-        if not hits:
-            return np.zeros(0, dtype=np.int64)
-        ids = np.concatenate([v[0] for v, _ in hits])
-        shift = np.abs(np.concatenate([v[1] - p for v, p in hits]))
-        ids = ids[shift <= self.lengths[ids] // 9]
-        self.mark[ids] = True
-        ids = np.flatnonzero(self.mark)
-        self.mark[ids] = False
-        longer = np.maximum(self.lengths[ids], n)
-        k = longer // 10
-        ok = np.abs(self.lengths[ids] - n) <= k
-        ids, k = ids[ok], k[ok]
-        for table, bits, size in ((self.two, BITS2, 2), (self.three, BITS3, 3)):
-            if len(ids):
-                ok = np.bitwise_count(table[ids] ^ _bits(text, size, bits)).sum(1) <= 2 * size * k
-                ids, k = ids[ok], k[ok]
-        return ids
+        flat, begins, self.lengths = _codes(texts)
+        self.k = self.lengths // 9
+        self.two = _bits(flat, begins, self.lengths, 2, BITS2)
+        self.three = _bits(flat, begins, self.lengths, 3, BITS3)
+        sizes = np.array([segment_length(n) for n in self.lengths])
+        self.held = {}  # segment length -> hashes, where each one's places begin, (text, start, number) of the places
+        for q in sorted(set(sizes.tolist()) - {0}):
+            ids = np.flatnonzero(sizes == q)
+            who, no = _spread(np.zeros(len(ids), dtype=np.int64), self.k[ids] + 1)
+            owner = ids[who]
+            start = no * self.lengths[owner] // (self.k[owner] + 1)
+            h = _grams(flat, q)[begins[owner] + start]
+            order = np.argsort(h, kind="stable")
+            uniq, first = np.unique(h[order], return_index=True)
+            self.held[q] = (uniq, np.append(first, len(h)), owner[order], start[order], no[order])
+
+    def partners(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(given text, evaluation text) of the pairs that pass the segment and n-gram bounds.
+
+        The segment with number j of k + 1 may be the intact one only where at most
+        j edits lie before it and k - j behind it, else another one is intact too.
+        """
+        flat, begins, lengths = _codes(texts)
+        mark = np.zeros(len(texts) * len(self.texts), dtype=bool)
+        for q, (uniq, first, owner, start, no) in self.held.items():
+            row, place = _spread(begins, np.maximum(lengths - q + 1, 0))
+            if not len(place):
+                continue
+            h = _grams(flat, q)[place]
+            at = np.minimum(np.searchsorted(uniq, h), len(uniq) - 1)
+            hit = uniq[at] == h
+            at, t, p = at[hit], row[hit], (place - begins[row])[hit]
+            which, post = _spread(first[at], first[at + 1] - first[at])
+            e, j, t = owner[post], no[post], t[which]
+            shift = p[which] - start[post]
+            more = lengths[t] - self.lengths[e]
+            ok = (np.abs(shift) <= j) & (np.abs(shift - more) <= self.k[e] - j)
+            mark[t[ok] * len(self.texts) + e[ok]] = True
+        t, e = np.divmod(np.flatnonzero(mark), len(self.texts))
+        k = np.maximum(lengths[t], self.lengths[e]) // 10
+        ok = np.abs(lengths[t] - self.lengths[e]) <= k
+        t, e, k = t[ok], e[ok], k[ok]
+        for table, bits, n in ((self.two, BITS2, 2), (self.three, BITS3, 3)):
+            if len(t):
+                own = _bits(flat, begins, lengths, n, bits)
+                ok = np.bitwise_count(table[e] ^ own[t]).sum(1, dtype=np.int64) <= 2 * n * k
+                t, e, k = t[ok], e[ok], k[ok]
+        return t, e
 
     def match(self, texts: list[str]) -> list[tuple[int, int, int]]:
         """(evaluation text, given text, edit distance) of all pairs within a tenth."""
@@ -175,10 +221,15 @@ class Block:
                 out.extend((i, j, int(x)) for (i, j), x in zip(part, d, strict=True) if x >= 0)
             wait.clear()
 
-        for j, t in enumerate(texts):
-            wait += [(int(i), j) for i in self.partners(t)]
-            if len(wait) >= 4 * BATCH:
-                verify()
+        begin, size = 0, 0
+        for j, text in enumerate(texts):
+            size += len(text)
+            if size >= self.CHARS or j + 1 == len(texts):
+                t, e = self.partners(texts[begin : j + 1])
+                wait += zip(e.tolist(), (t + begin).tolist(), strict=True)
+                begin, size = j + 1, 0
+                if len(wait) >= 4 * BATCH:
+                    verify()
         verify()
         return out
 
