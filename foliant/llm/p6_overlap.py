@@ -39,6 +39,7 @@ from foliant.runtime import materialize, read_table
 BAND = math.log(1.5)  # lengths of one band differ by at most this factor
 QUERIES = 16_000  # evaluation texts in a block
 PART = 20_000  # training texts in a part of a block
+PLACES = 1 << 31  # more than the characters of a text
 BITS2, BITS3 = 512, 2048
 BATCH = 4_096  # pairs verified at once
 
@@ -163,16 +164,20 @@ class Block:
         self.two = _bits(flat, begins, self.lengths, 2, BITS2)
         self.three = _bits(flat, begins, self.lengths, 3, BITS3)
         sizes = np.array([segment_length(n) for n in self.lengths])
-        self.held = {}  # segment length -> hashes, where each one's places begin, (text, start, number) of the places
+        self.held = {}  # segment length -> hashes; keys of hash and start, in order; reach; text and bounds of each key
         for q in sorted(set(sizes.tolist()) - {0}):
             ids = np.flatnonzero(sizes == q)
             who, no = _spread(np.zeros(len(ids), dtype=np.int64), self.k[ids] + 1)
             owner = ids[who]
             start = no * self.lengths[owner] // (self.k[owner] + 1)
             h = _grams(flat, q)[begins[owner] + start]
-            order = np.argsort(h, kind="stable")
-            uniq, first = np.unique(h[order], return_index=True)
-            self.held[q] = (uniq, np.append(first, len(h)), owner[order], start[order], no[order])
+            uniq, gram = np.unique(h, return_inverse=True)
+            key = gram * PLACES + start
+            order = np.argsort(key, kind="stable")
+            owner, start, no = owner[order].astype(np.int32), start[order], no[order]
+            behind, tail = self.k[owner] - no, start - self.lengths[owner]
+            # where the segment may start in a partner, from its front and from its end
+            self.held[q] = (uniq, key[order], int(no.max()), owner, *[x.astype(np.int32) for x in (start - no, start + no, tail - behind, tail + behind)])
 
     def partners(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(given text, evaluation text) of the pairs that pass the segment and n-gram bounds.
@@ -182,20 +187,24 @@ class Block:
         """
         flat, begins, lengths = _codes(texts)
         mark = np.zeros(len(texts) * len(self.texts), dtype=bool)
-        for q, (uniq, first, owner, start, no) in self.held.items():
+        for q, (uniq, keys, reach, owner, *bounds) in self.held.items():
             row, place = _spread(begins, np.maximum(lengths - q + 1, 0))
             if not len(place):
                 continue
             h = _grams(flat, q)[place]
             at = np.minimum(np.searchsorted(uniq, h), len(uniq) - 1)
-            hit = uniq[at] == h
-            at, t, p = at[hit], row[hit], (place - begins[row])[hit]
-            which, post = _spread(first[at], first[at + 1] - first[at])
-            e, j, t = owner[post], no[post], t[which]
-            shift = p[which] - start[post]
-            more = lengths[t] - self.lengths[e]
-            ok = (np.abs(shift) <= j) & (np.abs(shift - more) <= self.k[e] - j)
-            mark[t[ok] * len(self.texts) + e[ok]] = True
+            hit = np.flatnonzero(uniq[at] == h)
+            t = row[hit]
+            p = place[hit] - begins[t]
+            low = np.searchsorted(keys, at[hit] * PLACES + np.maximum(p - reach, 0))
+            high = np.searchsorted(keys, at[hit] * PLACES + p + reach, side="right")
+            which, post = _spread(low, high - low)
+            front = p.astype(np.int32)[which]
+            ok = np.flatnonzero((front >= bounds[0][post]) & (front <= bounds[1][post]))
+            which, post = which[ok], post[ok]
+            end = (p - lengths[t]).astype(np.int32)[which]
+            ok = (end >= bounds[2][post]) & (end <= bounds[3][post])
+            mark[t[which[ok]] * len(self.texts) + owner[post[ok]]] = True
         t, e = np.divmod(np.flatnonzero(mark), len(self.texts))
         k = np.maximum(lengths[t], self.lengths[e]) // 10
         ok = np.abs(lengths[t] - self.lengths[e]) <= k
