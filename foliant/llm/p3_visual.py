@@ -9,8 +9,7 @@ The lattice depends on what is seen only, so words that look the same get the
 same reading, whichever letters they were spelled with.
 
 Defined results: null stays null; blanks of any width become spaces; a joiner
-between a virama and a letter alters the drawn shape and is kept, elsewhere it
-is deleted; a vowel spelled as another vowel and a sign becomes that vowel;
+that alters the drawn shape (after a virama) is kept, elsewhere it is deleted; a vowel spelled as another vowel and a sign becomes that vowel;
 letter case, visible marks and the number of blanks make a difference.
 """
 
@@ -76,8 +75,11 @@ def _plain(c: str) -> str:
 
 
 def _keeps(text: str, at: int) -> bool:
-    """Does the joiner at ``at`` stand between a virama and a letter, and so alter the drawn shape?"""
-    return 0 < at < len(text) - 1 and unicodedata.combining(text[at - 1]) == 9 and text[at + 1].isalpha()
+    """Does the joiner at ``at`` alter the drawn shape? After a virama one that joins
+    always does, one that parts only before a letter."""
+    if at == 0 or unicodedata.combining(text[at - 1]) != 9:
+        return False
+    return text[at] == "\u200d" or at + 1 < len(text) and text[at + 1].isalpha()
 
 
 class _Plain(dict):
