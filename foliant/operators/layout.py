@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -77,14 +78,36 @@ def concordant_pairs(order: list[int]) -> int:
 
 
 def order_accuracy(items: DataFrame, group: str, reference: list[str], predicted: str) -> DataFrame:
-    """(group, n_items, concordant, accuracy) of a predicted order; 1.0 below two items. Groups are pages."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ranked = pdf.sort_values(reference + [predicted], kind="stable")[predicted].tolist()
-        n, good = len(ranked), concordant_pairs(ranked)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "n_items": [n], "concordant": [good], "accuracy": [good / (n * (n - 1) / 2) if n > 1 else 1.0]})
+    """(group, n_items, concordant, accuracy) of a predicted order; 1.0 below two items.
+
+    Rows stream through in order, sorted by Spark; only the predicted places of
+    the current group are held.
+    """
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: list[tuple] = []
+        key, seen, good, began = None, [], 0, False
+
+        def close():
+            n = len(seen)
+            done.append((key, n, good, good / (n * (n - 1) / 2) if n > 1 else 1.0))
+
+        for pdf in it:
+            for k, v in zip(pdf[group].tolist(), pdf[predicted].tolist(), strict=True):
+                if not began or k != key:
+                    if began:
+                        close()
+                    key, seen, good, began = k, [], 0, True
+                good += bisect_left(seen, v)
+                insort(seen, v)
+            yield pd.DataFrame(done, columns=[group, "n_items", "concordant", "accuracy"])
+            done.clear()
+        if began:
+            close()
+            yield pd.DataFrame(done, columns=[group, "n_items", "concordant", "accuracy"])
 
     kind = items.schema[group].dataType.simpleString()
-    return items.select(group, *reference, predicted).groupBy(group).applyInPandas(run, f"{group} {kind}, n_items long, concordant long, accuracy double")
+    ordered = items.select(group, *reference, predicted).repartition(group).sortWithinPartitions(group, *reference, predicted)
+    return ordered.select(group, predicted).mapInPandas(run, f"{group} {kind}, n_items long, concordant long, accuracy double")
 
 
 def column_bands(boxes: list[tuple]) -> list[int]:
