@@ -310,6 +310,8 @@ def training_rows(rows: DataFrame, label: str, text: str, languages: list[str],
 def fit(texts: list[list[str]], labels: list[int], languages: list[str], scripts: dict[str, set[str]] | None = None) -> Field:
     """Labels that the field of the other half of the texts contradicts are left out."""
     halves = [[i for i in range(len(texts)) if i % 2 == h] for h in (0, 1)]
+    if not texts:
+        return Field(languages, np.zeros((BUCKETS, len(languages)), dtype=np.float32), np.eye(len(languages)) * 2, np.zeros(len(languages)))
     if not all(halves):
         return train(texts, labels, languages, scripts)
     sound: list[int] = []
@@ -318,7 +320,7 @@ def fit(texts: list[list[str]], labels: list[int], languages: list[str], scripts
         for i, segs in zip(own, by.label([" ".join(texts[i]) for i in own]), strict=True):
             if segs and written(segs) == {labels[i]}:
                 sound.append(i)
-    sound.sort()
+    sound = sorted(sound) or list(range(len(texts)))
     return train([texts[i] for i in sound], [labels[i] for i in sound], languages, scripts)
 
 
