@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from foliant.runtime import materialize
+
 #: Metadata keys whose value is one slice.
 SLICE_KEYS = ("slice", "script", "document_type", "degradation", "language", "input_format")
 
@@ -70,25 +72,39 @@ def hash_split(df: DataFrame, key: str, ratio: float, salt: str = "split") -> Da
     return df.withColumn("is_held", F.substring(hash_rank(F.col(key), salt), 1, 8) < bound)
 
 
+def rank_within(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``df`` with rank, from 1 within each group, however large one group is.
+
+    Rows are range-partitioned by group and order and written, so that borders
+    stay; counts of the parts before (groups x partitions rows) are added to the
+    rank inside a part. ``order`` must tell the rows of a group apart.
+    """
+    placed = materialize(df.repartitionByRange(*by, *order).withColumn("_pid", F.spark_partition_id()), "rank")
+    before = W.partitionBy(*by).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    parts = placed.groupBy(*by, "_pid").agg(F.count("*").alias("_n")).select(*by, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = placed.withColumn("_rank", F.row_number().over(W.partitionBy(*by, "_pid").orderBy(*order)))
+    same = reduce(Column.__and__, [inside[c].eqNullSafe(parts[c]) for c in [*by, "_pid"]])
+    return inside.join(parts, same).select(*[inside[c] for c in df.columns], (F.col("_rank") + F.col("_before")).alias("rank"))
+
+
 def stratified_split(df: DataFrame, key: str, stratum: str, ratio: float, salt: str = "strata") -> DataFrame:
     """is_held: exactly max(1, round(n * ratio)) rows of each stratum, none of a stratum of one.
 
-    Only the key, its stratum and its hash are sorted, not the rows.
+    Only the key, its stratum and its hash are ranked, not the rows.
     """
-    ranked = df.select(key, stratum, hash_rank(F.col(key), salt).alias("h"))
-    by = W.partitionBy(stratum)
-    n = F.count("*").over(by)
-    take = F.when(n > 1, F.greatest(F.lit(1), F.bround(n * ratio).cast("long"))).otherwise(0)
-    ranked = ranked.withColumn("is_held", F.row_number().over(by.orderBy("h", key)) <= take).select(key, "is_held")
-    return df.join(ranked, key)
+    ranked = rank_within(df.select(key, stratum, hash_rank(F.col(key), salt).alias("_h")), [stratum], ["_h", key])
+    sizes = df.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_n"))
+    take = F.when(F.col("_n") > 1, F.greatest(F.lit(1), F.bround(F.col("_n") * ratio).cast("long"))).otherwise(0)
+    held = ranked.join(sizes, ranked[stratum].eqNullSafe(sizes["_s"])).select(key, (F.col("rank") <= take).alias("is_held"))
+    return df.join(held, key)
 
 
 def rebalance(df: DataFrame, key: str, stratum: str) -> DataFrame:
     """Rows of each stratum repeated until all are as large as the largest; copy_no 0 is the row itself."""
     sizes = df.groupBy(stratum).agg(F.count("*").alias("n"))
     largest = sizes.agg(F.max("n").alias("most"))  # one row
-    placed = df.select(key, stratum).withColumn("rn", F.row_number().over(W.partitionBy(stratum).orderBy(key)))
-    planned = placed.join(sizes.join(largest), stratum).withColumn("copies", F.expr("most div n + case when rn <= most % n then 1 else 0 end"))
+    placed = rank_within(df.select(key, stratum), [stratum], [key])
+    planned = placed.join(sizes.join(largest), stratum).withColumn("copies", F.expr("most div n + case when rank <= most % n then 1 else 0 end"))
     return planned.select(key, stratum, F.explode(F.expr("sequence(0, cast(copies as int) - 1)")).alias("copy_no"))
 
 

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 
 def finite(c: Column) -> Column:
@@ -116,7 +115,3 @@ def threshold_means(pairs: DataFrame, signal: str, low: float, high: float, step
 def top_failures(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     """The n worst rows; a top-k, so nothing is sorted as a whole."""
     return df.orderBy(*order).limit(n)
-
-
-def ranked(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order)))

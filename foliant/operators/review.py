@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from foliant.operators.corpus import rank_within
 
 
 def reasons(tests: dict[str, Column]) -> Column:
@@ -21,9 +22,9 @@ def issues(df: DataFrame, key: list[str], tests: dict[str, Column]) -> DataFrame
 
 def batches(df: DataFrame, group: list[str], order: list[str], size: int, reviewers: list[str]) -> DataFrame:
     """batch_no of fixed size within each group, and the reviewer of each batch in turn."""
-    n = F.row_number().over(W.partitionBy(*group).orderBy(*order))
     names = F.array(*[F.lit(r) for r in reviewers])
-    return df.withColumn("batch_no", F.ceil(n / size).cast("long")).withColumn("reviewer", F.element_at(names, ((F.col("batch_no") - 1) % len(reviewers) + 1).cast("int")))
+    ranked = rank_within(df, group, order).withColumn("batch_no", F.ceil(F.col("rank") / size).cast("long")).drop("rank")
+    return ranked.withColumn("reviewer", F.element_at(names, ((F.col("batch_no") - 1) % len(reviewers) + 1).cast("int")))
 
 
 def apply_corrections(lines: DataFrame, reviews: DataFrame, key: list[str], accepted: tuple[str, ...] = ("accept", "corrected")) -> tuple[DataFrame, DataFrame]:
