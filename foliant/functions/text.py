@@ -127,3 +127,63 @@ def split_row(c: Column) -> Column:
     """Cells of a table line: by tabs, else pipes (empty ends dropped), else wide blanks."""
     pipes = F.transform(F.filter(F.split(c, r"\|"), lambda x: F.trim(x) != ""), lambda x: F.trim(x))
     return F.when(F.contains(c, F.lit("\t")), F.transform(F.split(c, "\t"), lambda x: F.trim(x))).when(F.contains(c, F.lit("|")), pipes).otherwise(F.split(F.trim(c), r" {2,}"))
+
+
+def edit_opcodes(a: str, b: str, chunk: int | None = None) -> Iterator[tuple[str, str]]:
+    """(part of a, part of b) of each run of equal edits of a shortest alignment, in order; "" for what an edit lacks.
+
+    Bit-parallel (Hyyrö), one whole row to an integer. Of long texts,
+    rows are kept only every ``chunk`` characters of b and computed again going
+    back, so memory is far below the square of the length. Ties: going back, a deletion, else an
+    insertion, else a pair; common ends are matched first.
+    """
+    least = min(len(a), len(b))
+    head = next((i for i in range(least) if a[i] != b[i]), least)
+    tail = next((i for i in range(least - head) if a[-1 - i] != b[-1 - i]), least - head)
+    x, y = a[head:len(a) - tail], b[head:len(b) - tail]
+    chunk = chunk or max(256, 2**26 // (len(x) + 1))
+    at: dict[str, int] = {}
+    for i, c in enumerate(x):
+        at[c] = at.get(c, 0) | 1 << i
+    full = (1 << len(x)) - 1
+
+    def rows(vp: int, vn: int, part: str) -> Iterator[tuple[int, int]]:
+        for c in part:
+            eq = at.get(c, 0)
+            d0 = (((eq & vp) + vp) ^ vp) | eq | vn
+            hp, hn = (vn | ~(d0 | vp)) << 1 | 1, (d0 & vp) << 1
+            vp, vn = (hn | ~(d0 | hp)) & full, hp & d0 & full
+            yield vp, vn
+
+    starts = [(full, 0)]
+    for k in range(0, len(y) - chunk, chunk):
+        for last in rows(*starts[-1], y[k:k + chunk]):
+            pass
+        starts.append(last)
+    ops: list[tuple[str, int, int]] = []
+    col, row, base = len(x), len(y), len(y)
+    held: list[tuple[int, int]] = []  # rows base to base + chunk; the first is the state before them
+    while row and col:
+        if row <= base:
+            base = (row - 1) // chunk * chunk
+            held = [starts[base // chunk], *rows(*starts[base // chunk], y[base:base + chunk])]
+        if held[row - base][0] >> (col - 1) & 1:
+            col -= 1
+            ops.append(("d", col, row))
+            continue
+        row -= 1
+        if row and held[row - base][1] >> (col - 1) & 1:
+            ops.append(("i", col, row))
+        else:
+            col -= 1
+            if x[col] != y[row]:
+                ops.append(("r", col, row))
+    ops += [("d", i, row) for i in range(col - 1, -1, -1)] + [("i", col, j) for j in range(row - 1, -1, -1)]
+    ops.reverse()
+    k = 0
+    while k < len(ops):
+        kind, i, j = ops[k]
+        i2, j2 = i, j
+        while k < len(ops) and ops[k] == (kind, i2, j2):
+            i2, j2, k = i2 + (kind != "i"), j2 + (kind != "d"), k + 1
+        yield x[i:i2], y[j:j2]

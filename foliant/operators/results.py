@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import comb
+from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
@@ -10,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.functions.text import edit_opcodes
+
 
 def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
@@ -115,3 +119,26 @@ def threshold_means(pairs: DataFrame, signal: str, low: float, high: float, step
 def top_failures(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     """The n worst rows; a top-k, so nothing is sorted as a whole."""
     return df.orderBy(*order).limit(n)
+
+
+def confusions(pages: DataFrame, key: str, prediction: str, reference: str, limit: int) -> DataFrame:
+    """(a, b, n): the most frequent edits from prediction to reference, counted by page in Python, then combined.
+
+    Ties keep the order in which they are seen, by key and place.
+    """
+    kind = pages.schema[key].dataType.simpleString()
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            seen: dict[tuple[str, str], list] = {}
+            for k, p, r in zip(pdf["k"].tolist(), pdf["p"], pdf["r"], strict=True):
+                for place, (a, b) in enumerate(edit_opcodes(normalize("NFC", p), normalize("NFC", r))):
+                    got = seen.setdefault((a or "<eps>", b or "<eps>"), [0, k, place])
+                    got[0] += 1
+                    if (k, place) < (got[1], got[2]):
+                        got[1:] = k, place
+            yield pd.DataFrame([(*ab, *v) for ab, v in seen.items()], columns=["a", "b", "n", "k", "place"])
+
+    each = pages.select(F.col(key).alias("k"), F.col(prediction).alias("p"), F.col(reference).alias("r")).mapInPandas(run, f"a string, b string, n long, k {kind}, place long")
+    counted = each.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min(F.struct("k", "place")).alias("first"))
+    return counted.orderBy(F.desc("n"), "first").limit(limit).drop("first")

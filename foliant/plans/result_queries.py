@@ -368,12 +368,9 @@ def q_event_rates(spark, sf_dir):
 
 @query()
 def q_confusions(spark, sf_dir):
-    """The 200 most frequent character confusions of words that prediction and reference share by place."""
+    """The 200 most frequent edits (a in the prediction, b in the reference, <eps> for nothing) of the aligned pages in NFC; of equal ones those seen first."""
     e = read_table(spark, sf_dir, "page_eval").where("prediction_text is not null and reference_text is not null")
-    words = lambda c: F.split(F.trim(F.regexp_replace(F.col(c), r"\s+", " ")), " ")
-    both = e.select(F.explode(F.arrays_zip(words("prediction_text").alias("p"), words("reference_text").alias("r"))).alias("w")).select("w.p", "w.r")
-    one = both.where("p is not null and r is not null and p <> r and length(p) = length(r)").select(F.explode(F.arrays_zip(F.split("p", "").alias("a"), F.split("r", "").alias("b"))).alias("c")).select("c.a", "c.b").where("a <> b")
-    return one.groupBy("a", "b").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a", "b").limit(200)
+    return M.confusions(e, "eval_id", "prediction_text", "reference_text", 200)
 
 
 @query("""

@@ -85,6 +85,27 @@ def test_overlap_ignores_null_and_empty(spark):
     assert {r["name"]: r["n"] for r in C.overlap(a, a.where("k = 'x'"), {"k": "k", "v": "v"}).collect()} == {"k": 1, "v": 0}
 
 
+def test_edit_opcodes_are_shortest_and_whole():
+    rng = random.Random(3)
+    assert list(X.edit_opcodes("kitten", "sitting")) == [("k", "s"), ("e", "i"), ("", "g")]
+    assert list(X.edit_opcodes("", "ab")) == [("", "ab")] and list(X.edit_opcodes("ab", "")) == [("ab", "")] and not list(X.edit_opcodes("ab", "ab"))
+    for n in range(300):
+        a, b = ("".join(rng.choice("abcd"[:2 + n % 3]) for _ in range(rng.randint(0, 40))) for _ in range(2))
+        for chunk in (1, 3, 256):
+            ops = list(X.edit_opcodes(a, b, chunk))
+            assert sum(max(len(p), len(r)) for p, r in ops) == X.token_distance(list(a), list(b))
+            assert ops == list(X.edit_opcodes(a, b))
+            assert len(a) - len(b) == sum(len(p) - len(r) for p, r in ops)
+
+
+def test_confusions_of_aligned_pages(spark):
+    rows = [(1, "headline of the page\nthe cat sat", "the cat sat"), (2, "tbe cat sat", "the cat sat"), (3, "the cat st tbe", "the cat sat the"), (4, "the e\u0301", "the \u00e9"), (5, "same", "same")]
+    got = M.confusions(spark.createDataFrame(rows, "k long, p string, r string"), "k", "p", "r", 2).collect()
+    assert [tuple(r) for r in got] == [("b", "h", 2), ("headline of the page\n", "<eps>", 1)]
+    every = M.confusions(spark.createDataFrame(rows, "k long, p string, r string").repartition(4), "k", "p", "r", 200).collect()
+    assert [tuple(r) for r in every] == [("b", "h", 2), ("headline of the page\n", "<eps>", 1), ("<eps>", "a", 1)]
+
+
 def test_paired_outcomes(spark):
     df = spark.createDataFrame([(1, "c", 1.0), (1, "b", 2.0), (2, "c", 3.0), (2, "b", 3.0), (3, "c", 5.0)], "k int, s string, v double")
     r = M.outcomes(M.paired(df, "k", "s", "v", "c", "b"), lower_is_better=True).first()
