@@ -6,8 +6,8 @@ words of the pages are joined in SQL with much more frequent words over the
 hash that is left when a character, or a pair of neighbours, is taken out.
 Confusions are ranked by the number of different rare words they explain, over
 the whole corpus, and only well supported ones correct. Running titles and
-page numbers are removed at the edges of the page, titles by how often they
-recur; words broken at a line end are joined unless the corpus writes them
+page numbers are removed at the edges of the page, titles by how many different
+pages they recur on (copies of a page are one); words broken at a line end are joined unless the corpus writes them
 with a hyphen.
 
 Defined results: null and empty texts have no lines; a text of one line has no
@@ -21,6 +21,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
@@ -36,7 +37,8 @@ SUPPORT = 4  # different rare words that a confusion must explain
 REVERSED = 2  # and that the reverse of such a confusion must explain
 TITLE_WORDS = 5
 WIDE, NARROW = 0.85, 0.62  # of the widest line: a longer line is body text, a shorter one at an edge needs no more evidence
-TITLES = 2  # pages on which a title recurs
+TITLES = 2  # different pages on which a title recurs at least
+TITLE_SHARE = 9e-4  # and this share of all different pages, as body lines that recur by chance grow with them
 SUFFIXES = 4  # different titles that share all but their first word
 
 HYPHENS = "-‐‑¬­"
@@ -90,6 +92,10 @@ class Page:
             return None
         return " ".join(w).lower(), bare != s or len(bare) <= NARROW * widest
 
+    def body_hash(self) -> str:
+        """Of the lines that are neither titles nor page numbers."""
+        return blake2b("\n".join(self.lines[i].strip() for i in self.body if i not in self.titles).encode(errors="surrogatepass"), digest_size=12).hexdigest()
+
     def words(self, skip: set[int]) -> Iterator[tuple[int, int, str, int]]:
         """(line, its next body line, word, length of the part before a break or 0) of the lines not skipped."""
         rows = [i for i in self.body if i not in skip]
@@ -116,14 +122,13 @@ def _number(word: str) -> bool:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, item, n): words (w), words of pages (p), titles (t) of a partition."""
+    """(kind, item, n): words (w), words of pages (p) of a partition."""
     words: Counter = Counter()
     paged: Counter = Counter()
-    titles: Counter = Counter()
 
     def out():
-        items = [("w", k, n) for k, n in words.items()] + [("p", k, n) for k, n in paged.items()] + [("t", k, n) for k, n in titles.items()]
-        words.clear(), paged.clear(), titles.clear()
+        items = [("w", k, n) for k, n in words.items()] + [("p", k, n) for k, n in paged.items()]
+        words.clear(), paged.clear()
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in items], pa.string()), pa.array([x[1] for x in items], pa.string()), pa.array([x[2] for x in items], pa.int64())], names=["kind", "item", "n"])
 
     for b in batches:
@@ -133,8 +138,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if page.as_py():
                 p = Page(text)
-                for t, _ in p.titles.values():
-                    titles[t] += 1
                 for _, _, w, cut in p.words(set(p.titles)):
                     w = w[1:].replace("\n", "") if cut else w
                     if not _number(w):
@@ -198,47 +201,65 @@ def find_confusions(counts: DataFrame) -> DataFrame:
     return near.join(ranked, ["wrong", "right"]).groupBy("word").agg(best.alias("b")).select("word", "b.*")
 
 
-_ITEMS = "tbl string, id long, line_no int, next_line int, kind string, item string, part string, cut int, sure boolean"
+_ITEMS = "tbl string, id long, line_no int, next_line int, kind string, item string, part string, cut int, sure boolean, sample string, body string"
 
 
 def _page_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[tuple] = []
-        for tbl, key, text in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+        for tbl, key, text, sample in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
             p = Page(text)
-            out += [(tbl, key, i, i, "page_number", None, None, 0, True) for i in p.numbers]
+            out += [(tbl, key, i, i, "page_number", None, None, 0, True, None, None) for i in p.numbers]
             # a title that the corpus does not bear out is body text: its words count then
-            out += [(tbl, key, i, i, "title", t, t.partition(" ")[2], 0, sure) for i, (t, sure) in p.titles.items()]
+            body = p.body_hash() if p.titles else None
+            out += [(tbl, key, i, i, "title", t, t.partition(" ")[2], 0, sure, sample, body) for i, (t, sure) in p.titles.items()]
             seen = set()
             for i, nxt, w, cut in p.words(set(p.titles)):
                 if cut:
                     left, _, right = w[1:].partition("\n")
-                    out.append((tbl, key, i, nxt, "break", left + right, left + "-" + right, cut, w[0] in "¬­"))
+                    out.append((tbl, key, i, nxt, "break", left + right, left + "-" + right, cut, w[0] in "¬­", None, None))
                 elif (i, w) not in seen and not _number(w):
                     seen.add((i, w))
-                    out.append((tbl, key, i, nxt, "word", w, None, 0, True))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 9
-        kinds = [pa.string(), b.schema.field(1).type, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["tbl", "id", "line_no", "next_line", "kind", "item", "part", "cut", "sure"])
+                    out.append((tbl, key, i, nxt, "word", w, None, 0, True, None, None))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 11
+        kinds = [pa.string(), b.schema.field(1).type, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["tbl", "id", "line_no", "next_line", "kind", "item", "part", "cut", "sure", "sample", "body"])
+
+
+def _title_pages(titles: DataFrame) -> DataFrame:
+    """(item, n_title, n_suffix): different pages of each title, and different titles that share all but its first word.
+
+    Rows of one sample or of one body are one page, as are rows linked over two of these.
+    """
+    rows = titles.select("item", "body", F.coalesce("sample", "body").alias("sample")).distinct()
+    by_body = rows.groupBy("item", "body").agg(F.min("sample").alias("page"))
+    by_sample = rows.join(by_body, ["item", "body"]).groupBy("item", "sample").agg(F.min("page").alias("page"))
+    known = by_sample.groupBy("item").agg(F.countDistinct("page").alias("n_title"))
+    known = known.withColumn("part", F.expr("case when instr(item, ' ') > 0 then substring(item, instr(item, ' ') + 1) else '' end"))
+    suffixes = known.where("part <> ''").groupBy("part").agg(F.count("*").alias("n_suffix"))
+    return known.join(suffixes, "part", "left").select("item", "n_title", "n_suffix")
 
 
 def find_noise(pages: DataFrame, texts: DataFrame) -> DataFrame:
     """(tbl, id, line_no, kind, item, variant) of every noisy line of the pages.
 
-    pages: tbl, id, text. texts: text, page — all texts of the corpus, for counts.
+    pages: tbl, id, text, and sample if known. texts: text, page — all texts of the corpus, for counts.
     kind: hyphen, header, page_number or misread; item and variant: the broken or
     misread word and what it becomes.
     """
     counts = materialize(count_items(texts), "p5-counts")
     corrections = find_confusions(counts)
-    items = materialize(pages.where("text is not null").select("tbl", "id", "text").mapInArrow(_page_items, _ITEMS), "p5-items")
+    sample = F.col("sample") if "sample" in pages.columns else F.lit(None)
+    pages = pages.where("text is not null").select("tbl", "id", "text", sample.cast("string").alias("sample"))
+    items = materialize(pages.mapInArrow(_page_items, _ITEMS), "p5-items")
+    text = F.xxhash64("text")
+    different = pages.agg(F.least(F.countDistinct(F.coalesce("sample", text.cast("string"))), F.countDistinct(text))).first()[0]
+    needed = max(TITLES, TITLE_SHARE * different)
     nothing = F.lit(None).cast("string")
     numbers = items.where("kind = 'page_number'").select("tbl", "id", "line_no", F.lit("page_number").alias("kind"), nothing.alias("item"), nothing.alias("variant"))
-    known = counts.where("kind = 't'").select("item", F.col("n").alias("n_title"), F.substring_index("item", " ", 1).alias("place"))
-    known = known.withColumn("part", F.expr("case when instr(item, ' ') > 0 then substring(item, instr(item, ' ') + 1) else '' end"))
-    suffixes = known.where("part <> ''").groupBy("part").agg(F.count("*").alias("n_suffix"))
-    edge = items.where("kind = 'title'").join(known.select("item", "n_title"), "item", "left").join(suffixes, "part", "left")
-    headers = edge.where(F.col("sure") | (F.col("n_title") >= TITLES) | (F.col("n_suffix") >= SUFFIXES)).select("tbl", "id", "line_no", F.lit("header").alias("kind"), nothing.alias("item"), nothing.alias("variant"))
+    edge = items.where("kind = 'title'").drop("sample", "body")
+    edge = edge.join(_title_pages(items.where("kind = 'title'")), "item", "left")
+    headers = edge.where(F.col("sure") | (F.col("n_title") >= needed) | (F.col("n_suffix") >= SUFFIXES)).select("tbl", "id", "line_no", F.lit("header").alias("kind"), nothing.alias("item"), nothing.alias("variant"))
     freq = counts.where("kind = 'w'").select("item", "n")
     breaks = items.where("kind = 'break'").join(freq.select("item", F.col("n").alias("n_joined")), "item", "left").join(freq.select(F.col("item").alias("part"), F.col("n").alias("n_hyphen")), "part", "left")
     broken = breaks.where("sure or coalesce(n_hyphen, 0) = 0 or coalesce(n_joined, 0) > 3 * n_hyphen")
@@ -253,8 +274,8 @@ def find_noise(pages: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    m = read_table(spark, sf_dir, "manifest").select(F.lit("manifest").alias("tbl"), F.col("row_id").alias("id"), "text", (F.col("text").contains("\n") | F.coalesce(F.col("metadata")["unit"] == "page", F.lit(False))).alias("page"))
-    e = read_table(spark, sf_dir, "page_eval").select(F.lit("page_eval").alias("tbl"), F.col("eval_id").alias("id"), F.col("prediction_text").alias("text"), F.lit(True).alias("page"))
+    m = read_table(spark, sf_dir, "manifest").select(F.lit("manifest").alias("tbl"), F.col("row_id").alias("id"), "text", (F.col("text").contains("\n") | F.coalesce(F.col("metadata")["unit"] == "page", F.lit(False))).alias("page"), F.col("sample_id").alias("sample"))
+    e = read_table(spark, sf_dir, "page_eval").select(F.lit("page_eval").alias("tbl"), F.col("eval_id").alias("id"), F.col("prediction_text").alias("text"), F.lit(True).alias("page"), F.col("sample_id").alias("sample"))
     both = m.unionByName(e)
     return both.where("page and text is not null"), both.select("text", "page")
 

@@ -214,6 +214,29 @@ def test_p5_noise(spark):
     assert p5.rebuild(rows[60][2], noise).startswith(clean + " " + clean) and "Courier" not in p5.rebuild(rows[60][2], noise)
 
 
+def _wide(first, k):
+    body = "\n".join(f"line {w} of a page that speaks of {k} things" for w in ("one", "two", "three"))
+    return first + "\n" + body + "\nand ends here."
+
+
+def test_p5_a_title_recurs_on_different_pages(spark):
+    copied, evaluated, title = "because schoolhouse roofs were leaking", "since teachers considered letters", "the valley courier and newspaper"
+    rows = [("m", i, "s1", _wide(copied, "copied")) for i in range(5)]
+    rows += [("e", i, "s2", _wide(evaluated, f"read{i}")) for i in range(5)]
+    rows += [("m", 10 + i, f"t{i}", _wide(copied, "copied")) for i in range(3)]
+    rows += [("m", 20 + i, f"u{i}", _wide(title, f"other{i}")) for i in range(2)]
+    df = spark.createDataFrame(rows, "tbl string, id long, sample string, text string").withColumn("page", F.lit(True))
+    got = p5.find_noise(df, df.select("text", "page")).where("kind = 'header'").collect()
+    assert {(r["tbl"], r["id"], r["line_no"]) for r in got} == {("m", 20, 0), ("m", 21, 0)}
+
+
+def test_p5_titles_needed_grow_with_the_pages(spark):
+    rows = [("m", i, f"s{i}", _wide("by chance schoolhouse roofs leaked" if i < 2 else "the valley courier and newspaper" if i < 10 else f"{i} is how this page begins here", f"t{i}")) for i in range(6000)]
+    df = spark.createDataFrame(rows, "tbl string, id long, sample string, text string").withColumn("page", F.lit(True))
+    got = p5.find_noise(df, df.select("text", "page")).where("kind = 'header'").collect()
+    assert {r["id"] for r in got} == set(range(2, 10))
+
+
 # 6 -------------------------------------------------------------------------
 
 
