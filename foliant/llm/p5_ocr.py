@@ -5,7 +5,7 @@ hashes, so two words that differ by a confusion differ by a constant; rare
 words of the pages are joined in SQL with much more frequent words over the
 hash that is left when a character, or a pair of neighbours, is taken out.
 Confusions are ranked by the number of different rare words they explain, over
-the whole corpus, and only well supported ones correct. Running titles and
+the different texts of the corpus, and only well supported ones correct. Running titles and
 page numbers are removed at the edges of the page, titles by how many different
 pages they recur on (copies of a page are one); words broken at a line end are joined unless the corpus writes them
 with a hyphen.
@@ -151,8 +151,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_items(texts: DataFrame) -> DataFrame:
-    """texts: text, page (has several lines). Counts over all of them, combined before the shuffle."""
-    return texts.mapInArrow(_count, "kind string, item string, n long").groupBy("kind", "item").agg(F.sum("n").alias("n"))
+    """texts: text, page (has several lines). Counts over the different texts, so that copies are no evidence; combined before the shuffle."""
+    return texts.where("text is not null").groupBy("text").agg(F.max("page").alias("page")).mapInArrow(_count, "kind string, item string, n long").groupBy("kind", "item").agg(F.sum("n").alias("n"))
 
 
 _KEYS = """

@@ -237,6 +237,18 @@ def test_p5_titles_needed_grow_with_the_pages(spark):
     assert {r["id"] for r in got} == set(range(2, 10))
 
 
+def test_p5_copies_are_no_evidence(spark):
+    clean = "the teacher read the ledger and the farmer kept the letter of the school"
+    rows = [("m", i, f"{clean} {i}") for i in range(60)]
+    words = ["teacher", "ledger", "farmer", "letter", "kept", "the"]
+    for n, w in enumerate(words):
+        page = "\n".join([clean, clean.replace(w, w.replace("e", "c", 1), 1), clean + " is old."])
+        rows += [("p", 1000 * n + k, page) for k in range(1 if n else 200)]
+    df = spark.createDataFrame(rows, "tbl string, id long, text string").withColumn("page", F.col("text").contains("\n"))
+    got = p5.find_noise(df.where("page"), df.select("text", "page")).where("kind = 'misread'").collect()
+    assert {(r["id"], r["line_no"], r["variant"]) for r in got} == {(1000 * n + k, 1, w) for n, w in enumerate(words) for k in range(1 if n else 200)}
+
+
 # 6 -------------------------------------------------------------------------
 
 
