@@ -17,6 +17,7 @@ left alone; repeated rows are repaired each.
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections import Counter
@@ -92,6 +93,10 @@ class Page:
             return None
         return " ".join(w).lower(), bare != s or len(bare) <= NARROW * widest
 
+    def unsure(self) -> list[int]:
+        """Lines that are titles only if the corpus bears them out; two at most."""
+        return [i for i, (_, sure) in self.titles.items() if not sure]
+
     def body_hash(self) -> str:
         """Of the lines that are neither titles nor page numbers."""
         return blake2b("\n".join(self.lines[i].strip() for i in self.body if i not in self.titles).encode(errors="surrogatepass"), digest_size=12).hexdigest()
@@ -122,14 +127,17 @@ def _number(word: str) -> bool:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, item, n): words (w), words of pages (p) of a partition."""
-    words: Counter = Counter()
-    paged: Counter = Counter()
+    """(kind, item, title, n): words (w), words of pages (p) of a partition; with a title, what to add if it is body text."""
+    counts: Counter = Counter()
 
     def out():
-        items = [("w", k, n) for k, n in words.items()] + [("p", k, n) for k, n in paged.items()]
-        words.clear(), paged.clear()
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in items], pa.string()), pa.array([x[1] for x in items], pa.string()), pa.array([x[2] for x in items], pa.int64())], names=["kind", "item", "n"])
+        items = [(*k, n) for k, n in counts.items()]
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in items], pa.string()) for c in range(3)] + [pa.array([x[3] for x in items], pa.int64())], names=["kind", "item", "title", "n"])
+
+    def of_page(p: Page, skip: set[int]) -> Counter:
+        words = (w[1:].replace("\n", "") if cut else w for _, _, w, cut in p.words(skip))
+        return Counter(w for w in words if not _number(w))
 
     for b in batches:
         for text, page in zip(b.column(0), b.column(1), strict=True):
@@ -138,21 +146,28 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if page.as_py():
                 p = Page(text)
-                for _, _, w, cut in p.words(set(p.titles)):
-                    w = w[1:].replace("\n", "") if cut else w
-                    if not _number(w):
-                        words[w] += 1
-                        paged[w] += 1
+                sure = of_page(p, set(p.titles))
+                found = [("", sure)]
+                for i in p.unsure():
+                    more = of_page(p, set(p.titles) - {i})
+                    more.subtract(sure)
+                    found.append((p.titles[i][0], more))
+                for title, held in found:
+                    for w, n in held.items():
+                        if n:
+                            counts["w", w, title] += n
+                            counts["p", w, title] += n
             else:
-                words.update(w for x in plain(text).split() if len(w := x.strip(EDGES)) > 1 and not _number(w))
-        if len(words) > 200_000:
+                counts.update(("w", w, "") for x in plain(text).split() if len(w := x.strip(EDGES)) > 1 and not _number(w))
+        if len(counts) > 400_000:
             yield out()
     yield out()
 
 
 def count_items(texts: DataFrame) -> DataFrame:
     """texts: text, page (has several lines). Counts over the different texts, so that copies are no evidence; combined before the shuffle."""
-    return texts.where("text is not null").groupBy("text").agg(F.max("page").alias("page")).mapInArrow(_count, "kind string, item string, n long").groupBy("kind", "item").agg(F.sum("n").alias("n"))
+    texts = texts.where("text is not null").groupBy("text").agg(F.max("page").alias("page"))
+    return texts.mapInArrow(_count, "kind string, item string, title string, n long").groupBy("kind", "item", "title").agg(F.sum("n").alias("n"))
 
 
 _KEYS = """
@@ -178,7 +193,7 @@ def _anagram_keys(words: DataFrame) -> DataFrame:
 def find_confusions(counts: DataFrame) -> DataFrame:
     """Corrections (word, variant, wrong, right, n_words) ranked by how many words their confusion explains.
 
-    counts: kind, item, n of :func:`count_items`.
+    counts: kind, item, n of :func:`count_items`, titles decided.
     """
     total = counts.where("kind = 'w'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     often = max(LEAST, SHARE * total)
@@ -201,7 +216,18 @@ def find_confusions(counts: DataFrame) -> DataFrame:
     return near.join(ranked, ["wrong", "right"]).groupBy("word").agg(best.alias("b")).select("word", "b.*")
 
 
-_ITEMS = "tbl string, id long, line_no int, next_line int, kind string, item string, part string, cut int, sure boolean, sample string, body string"
+_ITEMS = "tbl string, id long, line_no int, next_line int, kind string, item string, part string, cut int, sure boolean, sample string, body string, given string"
+
+
+def _body_items(p: Page, skip: set[int]) -> Iterator[tuple]:
+    seen = set()
+    for i, nxt, w, cut in p.words(skip):
+        if cut:
+            left, _, right = w[1:].partition("\n")
+            yield i, nxt, "break", left + right, left + "-" + right, cut, w[0] in "¬­"
+        elif (i, w) not in seen and not _number(w):
+            seen.add((i, w))
+            yield i, nxt, "word", w, None, 0, True
 
 
 def _page_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,21 +235,21 @@ def _page_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for tbl, key, text, sample in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
             p = Page(text)
-            out += [(tbl, key, i, i, "page_number", None, None, 0, True, None, None) for i in p.numbers]
-            # a title that the corpus does not bear out is body text: its words count then
+            out += [(tbl, key, i, i, "page_number", None, None, 0, True, None, None, None) for i in p.numbers]
             body = p.body_hash() if p.titles else None
-            out += [(tbl, key, i, i, "title", t, t.partition(" ")[2], 0, sure, sample, body) for i, (t, sure) in p.titles.items()]
-            seen = set()
-            for i, nxt, w, cut in p.words(set(p.titles)):
-                if cut:
-                    left, _, right = w[1:].partition("\n")
-                    out.append((tbl, key, i, nxt, "break", left + right, left + "-" + right, cut, w[0] in "¬­", None, None))
-                elif (i, w) not in seen and not _number(w):
-                    seen.add((i, w))
-                    out.append((tbl, key, i, nxt, "word", w, None, 0, True, None, None))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 11
-        kinds = [pa.string(), b.schema.field(1).type, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["tbl", "id", "line_no", "next_line", "kind", "item", "part", "cut", "sure", "sample", "body"])
+            out += [(tbl, key, i, i, "title", t, t.partition(" ")[2], 0, sure, sample, body, None) for i, (t, sure) in p.titles.items()]
+            # a title that the corpus does not bear out is body text: what depends on it is given for each outcome
+            unsure = p.unsure()
+            cases = {}
+            for held in itertools.chain.from_iterable(itertools.combinations(sorted(unsure), n) for n in range(len(unsure) + 1)):
+                cases[",".join(map(str, held))] = dict.fromkeys(_body_items(p, set(p.titles).difference(unsure).union(held)))
+            first, *others = cases.values()
+            always = {x for x in first if all(x in o for o in others)}
+            out += [(tbl, key, *x, None, None, None) for x in first if x in always]
+            out += [(tbl, key, *x, None, None, given) for given, xs in cases.items() for x in xs if x not in always]
+        cols = list(zip(*out, strict=True)) if out else [[]] * 12
+        kinds = [pa.string(), b.schema.field(1).type, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["tbl", "id", "line_no", "next_line", "kind", "item", "part", "cut", "sure", "sample", "body", "given"])
 
 
 def _title_pages(titles: DataFrame) -> DataFrame:
@@ -247,8 +273,6 @@ def find_noise(pages: DataFrame, texts: DataFrame) -> DataFrame:
     kind: hyphen, header, page_number or misread; item and variant: the broken or
     misread word and what it becomes.
     """
-    counts = materialize(count_items(texts), "p5-counts")
-    corrections = find_confusions(counts)
     sample = F.col("sample") if "sample" in pages.columns else F.lit(None)
     pages = pages.where("text is not null").select("tbl", "id", "text", sample.cast("string").alias("sample"))
     items = materialize(pages.mapInArrow(_page_items, _ITEMS), "p5-items")
@@ -257,16 +281,24 @@ def find_noise(pages: DataFrame, texts: DataFrame) -> DataFrame:
     needed = max(TITLES, TITLE_SHARE * different)
     nothing = F.lit(None).cast("string")
     numbers = items.where("kind = 'page_number'").select("tbl", "id", "line_no", F.lit("page_number").alias("kind"), nothing.alias("item"), nothing.alias("variant"))
-    edge = items.where("kind = 'title'").drop("sample", "body")
-    edge = edge.join(_title_pages(items.where("kind = 'title'")), "item", "left")
-    headers = edge.where(F.col("sure") | (F.col("n_title") >= needed) | (F.col("n_suffix") >= SUFFIXES)).select("tbl", "id", "line_no", F.lit("header").alias("kind"), nothing.alias("item"), nothing.alias("variant"))
+    known = _title_pages(items.where("kind = 'title'"))
+    borne = materialize(known.where((F.col("n_title") >= needed) | (F.col("n_suffix") >= SUFFIXES)).select(F.col("item").alias("title"), F.lit(True).alias("borne")), "p5-titles")
+    edge = items.where("kind = 'title'").select("tbl", "id", "line_no", "sure", F.col("item").alias("title")).join(borne, "title", "left").where("sure or borne")
+    headers = edge.select("tbl", "id", "line_no", F.lit("header").alias("kind"), nothing.alias("item"), nothing.alias("variant"))
+    held = edge.where("not sure").groupBy("tbl", "id").agg(F.concat_ws(",", F.sort_array(F.collect_set("line_no")).cast("array<string>")).alias("held"))  # two at most
+    told = items.where("given is not null").join(held, ["tbl", "id"], "left").where("given = coalesce(held, '')").drop("held")
+    told = items.where("given is null").unionByName(materialize(told, "p5-told"))
+    raw = materialize(count_items(texts), "p5-raw")
+    raw = raw.where("title = ''").unionByName(raw.where("title <> ''").join(borne, "title", "left_anti"))
+    counts = materialize(raw.groupBy("kind", "item").agg(F.sum("n").alias("n")).where("n > 0"), "p5-counts")
+    corrections = find_confusions(counts)
     freq = counts.where("kind = 'w'").select("item", "n")
-    breaks = items.where("kind = 'break'").join(freq.select("item", F.col("n").alias("n_joined")), "item", "left").join(freq.select(F.col("item").alias("part"), F.col("n").alias("n_hyphen")), "part", "left")
+    breaks = told.where("kind = 'break'").join(freq.select("item", F.col("n").alias("n_joined")), "item", "left").join(freq.select(F.col("item").alias("part"), F.col("n").alias("n_hyphen")), "part", "left")
     broken = breaks.where("sure or coalesce(n_hyphen, 0) = 0 or coalesce(n_joined, 0) > 3 * n_hyphen")
     hyphens = broken.select("tbl", "id", "line_no", F.lit("hyphen").alias("kind"), F.col("part").alias("item"), F.col("item").alias("variant"))
     # the hyphenated form stands for a compound
     whole = breaks.join(broken.select("tbl", "id", "line_no"), ["tbl", "id", "line_no"], "left_anti").select("tbl", "id", "line_no", "next_line", F.col("part").alias("item"), "cut")
-    read = items.where("kind = 'word'").select("tbl", "id", "line_no", "next_line", "item", "cut").unionByName(broken.select("tbl", "id", "line_no", "next_line", "item", "cut")).unionByName(whole)
+    read = told.where("kind = 'word'").select("tbl", "id", "line_no", "next_line", "item", "cut").unionByName(broken.select("tbl", "id", "line_no", "next_line", "item", "cut")).unionByName(whole)
     wrong = read.join(corrections, read["item"] == corrections["word"])
     at = F.expr("coalesce(array_min(filter(sequence(1, length(word)), i -> substring(word, i, 1) <> substring(variant, i, 1))), length(word))")
     misread = wrong.select("tbl", "id", F.when((F.col("cut") > 0) & (at > F.col("cut")), F.col("next_line")).otherwise(F.col("line_no")).alias("line_no"), F.lit("misread").alias("kind"), "item", "variant")

@@ -249,6 +249,20 @@ def test_p5_copies_are_no_evidence(spark):
     assert {(r["id"], r["line_no"], r["variant"]) for r in got} == {(1000 * n + k, 1, w) for n, w in enumerate(words) for k in range(1 if n else 200)}
 
 
+def test_p5_lines_of_rejected_titles_are_body(spark):
+    clean = "the teacher read the ledger and the farmer kept the letter of the school"
+    rows = [("m", i, f"{clean} {i}") for i in range(60)]
+    words = ["teacher", "ledger", "farmer", "letter"]
+    for n, w in enumerate(words):
+        rows.append(("p", 100 + n, "\n".join(["governmental " + w.replace("e", "c", 1) + " considerations everywhere nowadays", clean, clean + " is old."])))
+    rows.append(("p", 200, "\n".join([clean, clean, "and it is for the letter of the govern-", "ments considered unconditionally everywhere nowadays"])))
+    df = spark.createDataFrame(rows, "tbl string, id long, text string").withColumn("page", F.col("text").contains("\n"))
+    assert p5.Page(rows[60][2]).unsure() == [0] and p5.Page(rows[-1][2]).unsure() == [3]
+    got = p5.find_noise(df.where("page"), df.select("text", "page")).collect()
+    wanted = {(100 + n, 0, "misread", w) for n, w in enumerate(words)} | {(200, 2, "hyphen", "governments")}
+    assert {(r["id"], r["line_no"], r["kind"], r["variant"]) for r in got} == wanted
+
+
 # 6 -------------------------------------------------------------------------
 
 
