@@ -11,7 +11,8 @@ pages they recur on (copies of a page are one); words broken at a line end are j
 with a hyphen.
 
 Defined results: null and empty texts have no lines; a text of one line has no
-edges, its words can only be misread; a page number outside the edge lines is
+edges, its words can only be misread; of two lines each is an edge, and a
+title only with a page number or on other pages too; a page number outside the edge lines is
 left alone; repeated rows are repaired each.
 """
 
@@ -68,15 +69,17 @@ class Page:
         at = [i for i, s in enumerate(self.lines) if s.strip()]
         self.numbers: set[int] = set()
         self.titles: dict[int, tuple[str, bool]] = {}  # line -> (title, is one by its page number, year or length)
-        if len(at) > 2:
+        if len(at) > 1:
             widest = max(len(self.lines[i].strip()) for i in at)
-            for side in (at[:2], at[-1:-3:-1]):
+            for side in (at[:2], at[-1:-3:-1]) if len(at) > 2 else (at[:1], at[1:]):
                 found = False
                 for i in side:
                     if is_page_number(self.lines[i]):
                         self.numbers.add(i)
                     elif not found and i not in self.titles and (t := self._title(i, widest)):
-                        self.titles[i], found = t, True
+                        # of two lines, the shorter one is no title by its length alone
+                        bare = " ".join(self.lines[i].split()).lower() == t[0]
+                        self.titles[i], found = (t[0], t[1] and not (bare and len(at) == 2)), True
                     else:
                         break
         self.body = [i for i in at if i not in self.numbers]

@@ -197,6 +197,16 @@ def test_p5_page_parts():
     assert p5.is_page_number("पृ. 21") and p5.is_page_number("[२३]") and not p5.is_page_number("12 boxes") and not p5.is_page_number("57344")
 
 
+def test_p5_pages_of_two_lines(spark):
+    assert p5.Page("the farmer of the village shared the ledger.\n— 101 —").numbers == {1}
+    assert p5.Page("12\n\nthe farmer of the village shared the ledger.").numbers == {0}
+    assert p5.Page("Hill Courier    Page 78\nthe farmer of the village shared the ledger.").titles == {0: ("hill courier", True)}
+    assert p5.Page("Hill Courier\nthe farmer of the village shared the ledger.").titles == {0: ("hill courier", False)}
+    rows = [("p", n, f"Hill Courier\nthe farmer number {n} of the village shared the ledger.") for n in range(3)] + [("p", 9, "My entry\nis what stands here, only once and with its meaning.")]
+    df = spark.createDataFrame(rows, "tbl string, id long, text string").withColumn("page", F.lit(True))
+    assert {(r["id"], r["line_no"], r["kind"]) for r in p5.find_noise(df, df.select("text", "page")).collect()} == {(n, 0, "header") for n in range(3)}
+
+
 def test_p5_noise(spark):
     clean = "the teacher read the ledger and the farmer kept the letter of the school"
     rows = [("m", i, clean) for i in range(60)]
