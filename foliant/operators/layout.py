@@ -56,14 +56,29 @@ def blocks(lines: DataFrame, page: list[str]) -> DataFrame:
     return lines.groupBy(*page, "block_no", "block_type").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n_lines"), texts.alias("t")).withColumn("text", F.array_join(F.transform("t", lambda x: x["text"]), "\n")).drop("t")
 
 
-def page_quality(lines: DataFrame, page: list[str], low: float = 0.5) -> DataFrame:
-    """Counts of doubtful lines and the quality score of each page, 0 without lines."""
+def structure_faults(segmented: DataFrame, cells: DataFrame, page: list[str]) -> DataFrame:
+    """(page, tables_without_cells, blocks_without_lines) of lines with their blocks; a block made of lines is never without."""
+    held = cells.select(*page, "line_no").distinct().withColumn("held", F.lit(1))
+    got = segmented.join(held, [*page, "line_no"], "left").groupBy(*page, "block_no", "block_type").agg(F.count("held").alias("n_held"), F.count("line_no").alias("n_lines"))
+    return got.groupBy(*page).agg(F.count_if((F.col("block_type") == "table") & (F.col("n_held") == 0)).alias("tables_without_cells"), F.count_if(F.col("n_lines") == 0).alias("blocks_without_lines"))
+
+
+def page_quality(lines: DataFrame, page: list[str], low: float = 0.5, faults: DataFrame | None = None) -> DataFrame:
+    """Counts of doubtful lines and the quality score of each page, 0 without lines.
+
+    faults: tables_without_cells and blocks_without_lines of each page, if known; a page it lacks has none.
+    """
     n, conf = F.count("*"), F.avg("confidence")
     got = lines.groupBy(*page).agg(
         n.alias("n_lines"), F.count_if(F.col("confidence") < low).alias("n_low"), F.count_if(F.col("confidence").isNull()).alias("n_missing"),
         F.count_if(F.trim("text") == "").alias("n_empty"), F.coalesce(conf, F.lit(0.0)).alias("avg_confidence"))
     share = lambda c: F.col(c) / F.col("n_lines")
+    if faults is None:
+        got = got.withColumn("tables_without_cells", F.lit(0)).withColumn("blocks_without_lines", F.lit(0))
+    else:
+        got = got.join(faults, page, "left").fillna(0, ["tables_without_cells", "blocks_without_lines"])
     loss = 0.35 * share("n_low") + 0.2 * share("n_missing") + 0.2 * share("n_empty") + 0.2 * F.greatest(F.lit(0.0), 0.95 - F.col("avg_confidence"))
+    loss += F.least(F.lit(0.15), 0.05 * F.col("tables_without_cells")) + F.least(F.lit(0.1), 0.02 * F.col("blocks_without_lines"))
     return got.withColumn("quality_score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - loss)), 6))
 
 

@@ -305,7 +305,8 @@ def q_blocks(spark, sf_dir):
 @query(_LINES + "select doc_id, count(*) as n_lines, 1.0::double as avg_confidence, 1.0::double as quality_score from l group by 1")
 def q_doc_quality(spark, sf_dir):
     lines = L.text_lines(read_table(spark, sf_dir, "documents").where("text is not null"), "doc_id", "text")
-    return L.page_quality(lines, ["doc_id"]).select("doc_id", "n_lines", "avg_confidence", "quality_score")
+    faults = L.structure_faults(L.segment_blocks(_document_lines(spark, sf_dir), ["doc_id"]), B.cells(lines, "doc_id"), ["doc_id"])
+    return L.page_quality(lines, ["doc_id"], faults=faults).select("doc_id", "n_lines", "avg_confidence", "quality_score")
 
 
 @query()

@@ -138,6 +138,18 @@ def test_blocks_and_reading_order(spark):
     assert got == [("title", 1), ("text", 2), ("table", 2), ("text", 1)]
 
 
+def test_page_quality_with_faults(spark):
+    rows = [(1, 0, "a", 0.9), (1, 1, " ", 0.4), (2, 0, "a", None), (2, 1, "b", 0.95), (3, 0, "a", 1.0), (4, 0, "a", 1.0)]
+    lines = spark.createDataFrame(rows, "k long, line_no int, text string, confidence double")
+    faults = spark.createDataFrame([(1, 1, 1), (3, 9, 9)], "k long, tables_without_cells long, blocks_without_lines long")
+    got = {r["k"]: r["quality_score"] for r in L.page_quality(lines, ["k"], faults=faults).collect()}
+    assert got == {1: round(1 - 0.175 - 0.1 - 0.06 - 0.05 - 0.02, 6), 2: 0.9, 3: 0.75, 4: 1.0}
+    text = "A title\n\n| --- | --- |\n\nprose\n| x | y |"
+    doc = L.text_lines(spark.createDataFrame([(7, text)], "k long, text string"), "k", "text")
+    blocks = L.segment_blocks(L.reading_order(doc, ["k"]), ["k"])
+    assert [tuple(r) for r in L.structure_faults(blocks, B.cells(doc, "k"), ["k"]).collect()] == [(7, 1, 0)]
+
+
 def test_concordant_pairs():
     for n in (0, 1, 2, 30):
         v = [random.Random(n).randrange(50) for _ in range(n)]
