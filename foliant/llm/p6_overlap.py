@@ -7,11 +7,13 @@ off. Training texts look up all their substrings of segment length; partners
 pass two bounds on hashed character n-grams (an edit changes at most n of them
 on either side) and are verified with banded dynamic programming. No bucket is
 capped: candidates are counted in blocks of bounded size instead of emitted.
+Which k + 1 disjoint segments are cut is chosen by how rare they are in the
+block's training texts near their places.
 
 Texts are compared in the one form of problem 3, each distinct form once; rows
-join to the pairs of forms afterwards. Blocks are by script and length band, a
-training text visiting every block that may hold a partner: a partner's main
-script has at most 2k characters less in it than any other script.
+join to the pairs of forms afterwards. Blocks are by script and lengths, a training
+text visiting every block that may hold a partner: a partner's main script has
+at most 2k characters less in it than any other script.
 
 Defined results: null hashes, and null, empty and blank texts match nothing;
 rows whose split names none of the three are left out; texts of fewer than nine
@@ -22,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,56 +37,57 @@ from foliant.llm.common import split_names, with_split
 from foliant.llm.p3_visual import Canonical, bigram_model
 from foliant.runtime import materialize, read_table
 
-BAND = math.log(1.5)  # lengths of one band differ by at most this factor
-QUERIES = 16_000  # evaluation texts in a block
-PART = 20_000  # training texts in a part of a block
-PLACES = 1 << 31  # more than the characters of a text
+QUERIES = 8_000_000  # characters of the evaluation texts in a block, about
+PART = 6_000_000  # characters of the training texts in a part of a block, about
+SLOTS, PLACES = 1 << 18, 16  # of the index of segments: by hash, and by place in the text
+WORK = 1 << 25  # cells of the choice of segments at once
 BITS2, BITS3 = 512, 2048
 BATCH = 4_096  # pairs verified at once
 
 _ZONES = ((0x0, 0x900, "L"), (0x900, 0x980, "D"), (0x1900, 0x1950, "I"), (0x1C00, 0x1C50, "R"), (0x1C50, 0x1C80, "O"), (0x1E00, 0x2000, "L"), (0x11480, 0x114E0, "T"), (0x11BC0, 0x11C00, "S"))
+ZONES = "DILORSTX"
 
 
-def _zone(c: str) -> str:
-    o = ord(c)
-    return next((z for a, b, z in _ZONES if a <= o < b), "X")
+def _zone_table() -> np.ndarray:
+    table = np.full(0x110000, ZONES.index("X"), dtype=np.uint8)
+    for a, b, z in _ZONES:
+        table[a:b] = ZONES.index(z)
+    return table
 
 
-def zones(text: str) -> tuple[str, list[str]]:
-    """The main zone of a text, and those that may be the main zone of a partner."""
-    n: dict[str, int] = defaultdict(int)
-    for c in set(text):
-        n[_zone(c)] += text.count(c)
-    most = max(n.values())
-    slack = 2 * (len(text) // 9)
-    return min(z for z in n if n[z] == most), sorted(z for z in "DILORSTX" if n.get(z, 0) >= most - slack)
+def zones(texts: list[str], table: np.ndarray) -> tuple[list[str], list[str]]:
+    """The main zone of each text, and those that may be the main zone of a partner."""
+    flat, _, lengths = _codes(texts)
+    n = np.bincount(np.repeat(np.arange(len(texts)) * len(ZONES), lengths) + table[flat], minlength=len(texts) * len(ZONES)).reshape(len(texts), len(ZONES))
+    may = n >= (n.max(1) - 2 * (lengths // 9))[:, None]
+    return [ZONES[i] for i in n.argmax(1)], ["".join(z for z, x in zip(ZONES, m, strict=True) if x) for m in may.tolist()]
 
 
 def segment_length(length: int) -> int:
-    """Length q such that length // 9 + 1 segments of q fit in."""
-    return 8 if length >= 64 else 7 if length >= 36 else 6 if length >= 18 else 4 if length >= 9 else 0
-
-
-def segments(text: str) -> list[tuple[str, int]]:
-    n, q = len(text) // 9 + 1, segment_length(len(text))
-    return [(text[s : s + q], s) for s in (j * len(text) // n for j in range(n))] if q else []
+    """Length q such that length // 9 + 1 segments of q fit in, with room to choose them."""
+    return 6 if length >= 18 else 4 if length >= 9 else 0
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of all texts in one array, where each begins, and their lengths."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    return flat, np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return flat, np.cumsum(lengths) - lengths, lengths
 
 
 def _grams(flat: np.ndarray, n: int) -> np.ndarray:
     """A hash of the n characters from each place on."""
-    if len(flat) < n:
-        return np.zeros(0, dtype=np.uint64)
-    out = np.zeros(len(flat) - n + 1, dtype=np.uint64)
-    for i in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + (flat[i : len(flat) - n + 1 + i] + np.uint64(0x165667B1))
-    return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    out = np.zeros(max(len(flat) - n + 1, 0), dtype=np.uint32)
+    for i in range(n if len(out) else 0):
+        out *= np.uint32(0x9E3779B1)
+        out += flat[i : len(flat) - n + 1 + i]
+        out ^= out >> np.uint32(15)
+    return out * np.uint32(0x85EBCA6B)
+
+
+def _slots(flat: np.ndarray, q: int) -> np.ndarray:
+    """For the q characters from each place on, the first of the slots they share by hash, one for each place."""
+    return (_grams(flat, q) >> np.uint32(33 - SLOTS.bit_length())).astype(np.int64) * PLACES
 
 
 def _spread(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,12 +99,12 @@ def _spread(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _bits(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray, n: int, bits: int) -> np.ndarray:
     """For each text the set of its n-grams, hashed to bits."""
     out = np.zeros((len(lengths), bits // 64), dtype=np.uint64)
-    grams = _grams(flat, n) >> np.uint64(64 - bits.bit_length() + 1)
+    grams = _grams(flat, n) >> np.uint32(33 - bits.bit_length())
     for s in range(0, len(lengths), 2048):
         m = np.maximum(lengths[s : s + 2048] - n + 1, 0)
         row, place = _spread(begins[s : s + 2048], m)
         held = np.zeros((len(m), bits), dtype=np.uint8)
-        held[row, grams[place].astype(np.int64)] = 1
+        held.ravel()[row * bits + grams[place]] = 1
         out[s : s + 2048] = np.packbits(held, axis=1).view(np.uint64)
     return out
 
@@ -152,69 +154,122 @@ def within(a: list[str], b: list[str], k: np.ndarray) -> np.ndarray:
     return out
 
 
+def rarest(cost: np.ndarray, parts: int, q: int, weights: np.ndarray) -> np.ndarray:
+    """Starts of ``parts`` disjoint segments of q characters with the least weighted cost, for each text.
+
+    cost: places x texts, infinite where no segment fits. weights: of the segments, from the front.
+    """
+    places, n = cost.shape
+    took = np.zeros((places + q, n, parts), dtype=bool)
+    first = np.full((n, parts + 1), np.inf, dtype=np.float32)
+    first[:, 0] = 0
+    best = [first] * q  # of the texts' first i + 1 .. i + q characters
+    for i in range(places):
+        alt = best[0][:, :-1] + cost[i][:, None] * weights
+        last = best[-1]
+        np.less(alt, last[:, 1:], out=took[i + q - 1])
+        new = last.copy()
+        np.minimum(alt, last[:, 1:], out=new[:, 1:])
+        best = [*best[1:], new]
+    starts = np.zeros((n, parts), dtype=np.int64)
+    left, end, who = np.full(n, parts), np.full(n, places + q - 1), np.arange(n)
+    for i in range(places + q - 2, q - 2, -1):
+        at = np.flatnonzero((end > i) & (left > 0))
+        hit = at[took[i, at, left[at] - 1]]
+        starts[who[hit], left[hit] - 1] = i - q + 1
+        left[hit] -= 1
+        end[at] = i
+        end[hit] = i - q + 1
+    return starts
+
+
 class Block:
-    """Evaluation texts with their segments and bounds, in arrays."""
+    """Evaluation texts with their segments and bounds, in arrays.
 
-    CHARS = 12_000  # of the given texts looked up at once
+    Of all ways to cut k + 1 disjoint segments, the one is taken whose segments
+    are the rarest among ``others`` (the texts to be looked up, or like ones)
+    near their places; which one is taken does not alter what is found.
+    """
 
-    def __init__(self, texts: list[str]):
+    CHARS = 32_000  # of the given texts looked up at once
+
+    def __init__(self, texts: list[str], others: list[str] | None = None):
         self.texts = texts
         flat, begins, self.lengths = _codes(texts)
         self.k = self.lengths // 9
         self.two = _bits(flat, begins, self.lengths, 2, BITS2)
         self.three = _bits(flat, begins, self.lengths, 3, BITS3)
+        common = _codes(texts if others is None else others)
         sizes = np.array([segment_length(n) for n in self.lengths])
-        self.held = {}  # segment length -> hashes; keys of hash and start, in order; reach; text and bounds of each key
+        self.held = []  # for each segment length: width of a place, reach, postings of each slot and place, text and bounds of each posting
         for q in sorted(set(sizes.tolist()) - {0}):
             ids = np.flatnonzero(sizes == q)
-            who, no = _spread(np.zeros(len(ids), dtype=np.int64), self.k[ids] + 1)
-            owner = ids[who]
-            start = no * self.lengths[owner] // (self.k[owner] + 1)
-            h = _grams(flat, q)[begins[owner] + start]
-            uniq, gram = np.unique(h, return_inverse=True)
-            key = gram * PLACES + start
+            wide = max(1, -(-int(self.lengths[ids].max()) // PLACES))
+            grams = _slots(flat, q)
+            owner, starts = [], []
+            at, where = _spread(common[1], np.maximum(common[2] - q + 1, 0))
+            seen = np.bincount(_slots(common[0], q)[where] + np.minimum((where - common[1][at]) // wide, PLACES - 1), minlength=SLOTS * PLACES)
+            seen = np.concatenate([[0], np.cumsum(seen)]).astype(np.int32 if len(where) < 1 << 31 else np.int64)
+            for k in np.unique(self.k[ids]).tolist():
+                same = ids[self.k[ids] == k]
+                most = int(self.lengths[same].max())
+                step = max(1, WORK // (most * (k + 1)))
+                weights = (2 * np.minimum(np.arange(k + 1), k - np.arange(k + 1)) + 1).astype(np.float32)
+                for s in range(0, len(same), step):
+                    part = same[s : s + step]
+                    i = np.arange(most - q + 1)[:, None]
+                    fits = i + q <= self.lengths[part]
+                    g = grams[np.where(fits, begins[part] + i, begins[part])]
+                    cost = (seen[g + np.minimum((i + k // 2) // wide, PLACES - 1) + 1] - seen[g + np.maximum(i - k // 2, 0) // wide]).astype(np.float32)
+                    starts.append(rarest(np.where(fits, cost + np.float32(0.05), np.float32(np.inf)), k + 1, q, weights).ravel())
+                    owner.append(np.repeat(part, k + 1))
+            owner, start = np.concatenate(owner), np.concatenate(starts)
+            no = np.concatenate([[0], np.cumsum(owner[1:] != owner[:-1])])
+            no = np.arange(len(owner)) - np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))[no]
+            key = grams[begins[owner] + start] + start // wide
             order = np.argsort(key, kind="stable")
-            owner, start, no = owner[order].astype(np.int32), start[order], no[order]
+            first = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=SLOTS * PLACES))]).astype(np.int32)
+            owner, start, no = owner[order], start[order], no[order]
             behind, tail = self.k[owner] - no, start - self.lengths[owner]
             # where the segment may start in a partner, from its front and from its end
-            self.held[q] = (uniq, key[order], int(no.max()), owner, *[x.astype(np.int32) for x in (start - no, start + no, tail - behind, tail + behind)])
+            bounds = np.stack([start - no, start + no, tail - behind, tail + behind], axis=1).astype(np.int32)
+            self.held.append((q, wide, int(self.k[ids].max()), first, owner.astype(np.int32), bounds))
 
     def partners(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(given text, evaluation text) of the pairs that pass the segment and n-gram bounds.
 
-        The segment with number j of k + 1 may be the intact one only where at most
-        j edits lie before it and k - j behind it, else another one is intact too.
+        Of k + 1 segments, take the first with at most as many edits up to its end
+        as segments before it: it is intact, with at most j edits before it and
+        k - j behind it. Only such places are looked at.
         """
         flat, begins, lengths = _codes(texts)
-        mark = np.zeros(len(texts) * len(self.texts), dtype=bool)
-        for q, (uniq, keys, reach, owner, *bounds) in self.held.items():
+        near = lengths.astype(np.int32)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for q, wide, reach, first, owner, bounds in self.held:
             row, place = _spread(begins, np.maximum(lengths - q + 1, 0))
             if not len(place):
                 continue
-            h = _grams(flat, q)[place]
-            at = np.minimum(np.searchsorted(uniq, h), len(uniq) - 1)
-            hit = np.flatnonzero(uniq[at] == h)
-            t = row[hit]
-            p = place[hit] - begins[t]
-            low = np.searchsorted(keys, at[hit] * PLACES + np.maximum(p - reach, 0))
-            high = np.searchsorted(keys, at[hit] * PLACES + p + reach, side="right")
-            which, post = _spread(low, high - low)
-            front = p.astype(np.int32)[which]
-            ok = np.flatnonzero((front >= bounds[0][post]) & (front <= bounds[1][post]))
-            which, post = which[ok], post[ok]
-            end = (p - lengths[t]).astype(np.int32)[which]
-            ok = (end >= bounds[2][post]) & (end <= bounds[3][post])
-            mark[t[which[ok]] * len(self.texts) + owner[post[ok]]] = True
-        t, e = np.divmod(np.flatnonzero(mark), len(self.texts))
+            slot, p = _slots(flat, q)[place], place - begins[row]
+            low = first[slot + np.minimum(np.maximum(p - reach, 0) // wide, PLACES - 1)]
+            n = first[slot + np.minimum((p + reach) // wide, PLACES - 1) + 1] - low
+            hit = np.flatnonzero(n)
+            which, post = _spread(low[hit], n[hit])
+            row, front = row[hit].astype(np.int32), p[hit].astype(np.int32)
+            end = front - near[row]
+            may = bounds[post]
+            f, e = front[which], end[which]
+            ok = np.flatnonzero((f >= may[:, 0]) & (f <= may[:, 1]) & (e >= may[:, 2]) & (e <= may[:, 3]))
+            found.append((row[which[ok]], owner[post[ok]]))
+        if not found:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        t, e = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
         k = np.maximum(lengths[t], self.lengths[e]) // 10
-        ok = np.abs(lengths[t] - self.lengths[e]) <= k
-        t, e, k = t[ok], e[ok], k[ok]
         for table, bits, n in ((self.two, BITS2, 2), (self.three, BITS3, 3)):
-            if len(t):
-                own = _bits(flat, begins, lengths, n, bits)
-                ok = np.bitwise_count(table[e] ^ own[t]).sum(1, dtype=np.int64) <= 2 * n * k
-                t, e, k = t[ok], e[ok], k[ok]
-        return t, e
+            some, at = np.unique(t, return_inverse=True)
+            own = _bits(flat, begins[some], lengths[some], n, bits)
+            ok = np.bitwise_count(table[e] ^ own[at]).sum(1, dtype=np.int64) <= 2 * n * k
+            t, e, k = t[ok], e[ok], k[ok]
+        return np.divmod(np.unique(t * len(self.texts) + e), len(self.texts))
 
     def match(self, texts: list[str]) -> list[tuple[int, int, int]]:
         """(evaluation text, given text, edit distance) of all pairs within a tenth."""
@@ -245,61 +300,87 @@ class Block:
 
 def _forms(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canon = Canonical(model)
+        canon, table = Canonical(model), _zone_table()
         for b in batches:
             texts = [canon.text(t) if t else "" for t in b.column(1).to_pylist()]
             ok = [bool(t.strip()) for t in texts]
+            long = [t if o and len(t) >= 9 else None for t, o in zip(texts, ok, strict=True)]
+            found = iter(zip(*zones([t for t in long if t], table), strict=True))
+            main, may = zip(*[next(found) if t else (None, None) for t in long], strict=True) if long else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), b.column(3),
                  pa.array([hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() if o else None for t, o in zip(texts, ok, strict=True)], pa.binary()),
-                 pa.array([t if o and len(t) >= 9 else None for t, o in zip(texts, ok, strict=True)], pa.string())],
-                names=["id", "held_out", "image", "form", "text"])
+                 pa.array(long, pa.string()), pa.array(main, pa.string()), pa.array(may, pa.string()), pa.array([len(t) if t else None for t in long], pa.int32())],
+                names=["id", "held_out", "image", "form", "text", "zone", "may", "n"])
 
     return run
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(form, held_out, zone, band) for every block a text belongs to or visits."""
-    for b in batches:
-        rows = []
-        for form, held, text in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
-            main, may = zones(text)
-            n = len(text)
-            if held:
-                rows.append((form, held, text, main, int(math.log(n) / BAND)))
-            else:
-                low, high = math.ceil(0.9 * n - 1e-9), math.floor(n / 0.9 + 1e-9)
-                rows += [(form, held, text, z, g) for z in may for g in range(int(math.log(max(low, 1)) / BAND), int(math.log(high) / BAND) + 1)]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.bool_(), pa.string(), pa.string(), pa.int32()), strict=True)], names=["form", "held_out", "text", "zone", "band"])
-
-
 def _join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     if left.empty or right.empty:
         return pd.DataFrame({"form_e": pd.Series(dtype=object), "form_t": pd.Series(dtype=object), "distance": pd.Series(dtype="int32")})
-    found = Block(list(left["text"])).match(list(right["text"]))
+    held, train = list(left["text"]), list(right["text"])
+    found = Block(held, train).match(train)
     return pd.DataFrame({"form_e": [left["form"].iloc[i] for i, _, _ in found], "form_t": [right["form"].iloc[j] for _, j, _ in found], "distance": np.array([d for *_, d in found], dtype="int32")})
 
 
+def _reach(n: int) -> range:
+    """Lengths of the texts that may be within a tenth of one of n characters."""
+    return range(math.ceil(0.9 * n - 1e-9), math.floor(n / 0.9 + 1e-9) + 1)
+
+
+def plan_blocks(held: dict[tuple[str, int], int], train: dict[tuple[str, int], int], queries: int, part: int) -> tuple[list[tuple], list[tuple], int]:
+    """Blocks of evaluation texts of one zone and of like lengths, each with the training texts in reach, in parts.
+
+    held, train: (zone, length) -> texts. Returns rows (zone, n, first cell, subs, parts)
+    for either side and the number of cells; a cell is a block's sub and a part.
+    A length with more texts than a block holds is divided by hash (subs).
+    """
+    places_e: list[tuple] = []
+    places_t: list[tuple] = []
+    cells = 0
+    for zone in sorted({z for z, _ in held}):
+        lengths = sorted(n for z, n in held if z == zone)
+        there = sorted(n for z, n in train if z == zone)
+        at = 0
+        while at < len(lengths):
+            end, size = at, 0
+            while end < len(lengths) and (end == at or size + held[zone, lengths[end]] * lengths[end] <= queries):
+                size += held[zone, lengths[end]] * lengths[end]
+                end += 1
+            low, high = _reach(lengths[at]).start, _reach(lengths[end - 1]).stop
+            near = [n for n in there if low <= n < high]
+            if near:
+                subs, parts = -(-size // queries), -(-sum(train[zone, n] * n for n in near) // part)
+                places_e += [(zone, n, cells, subs, parts) for n in lengths[at:end]]
+                places_t += [(zone, n, cells, subs, parts) for n in near]
+                cells += subs * parts
+            at = end
+    return places_e, places_t, cells
+
+
 def similar_forms(forms: DataFrame, queries: int = QUERIES, part: int = PART) -> DataFrame:
     """(form_e, form_t, distance) of different forms, one held out and one not, within a tenth.
 
-    forms: form (a key), held_out, text; one row for each form and side.
+    forms: form (a key), held_out, text, zone, may, n; one row for each form and side.
     """
     spark = forms.sparkSession
-    placed = materialize(forms.select("form", "held_out", "text").mapInArrow(_places, "form binary, held_out boolean, text string, zone string, band int"), "p6-places")
-    # as many rows as there are scripts and length bands
-    n = placed.groupBy("zone", "band").agg(F.count_if("held_out").alias("e"), F.count_if(~F.col("held_out")).alias("t")).where("e > 0 and t > 0").collect()
-    schema = T.StructType([T.StructField("zone", T.StringType()), T.StructField("band", T.IntegerType()), T.StructField("subs", T.IntegerType()), T.StructField("parts", T.IntegerType())])
-    plan = spark.createDataFrame([(r["zone"], r["band"], -(-r["e"] // queries), -(-r["t"] // part)) for r in n], schema)
+    placed = materialize(forms.withColumn("zone", F.explode(F.when(F.col("held_out"), F.array("zone")).otherwise(F.split("may", "")))).select("form", "held_out", "text", "zone", "n"), "p6-places")
+    # as many rows as there are scripts and lengths
+    count = {(r["held_out"], r["zone"], r["n"]): r["count"] for r in placed.groupBy("held_out", "zone", "n").count().collect()}
+    *places, cells = plan_blocks(*[{(z, n): c for (h, z, n), c in count.items() if h is held} for held in (True, False)], queries, part)
+    schema = "zone string, n int, first int, subs int, parts int"
+    e, t = (
+        # the planned places are bounded by scripts x lengths; beyond the bound the join is left to the optimizer
+        placed.where("held_out" if held else "not held_out").join((F.broadcast if len(p) < 200_000 else lambda x: x)(spark.createDataFrame(p, schema)), ["zone", "n"])
+        for held, p in zip((True, False), places, strict=True))
     h = F.xxhash64("form")
-    placed = placed.join(F.broadcast(plan), ["zone", "band"])  # bounded by scripts x bands
-    e = placed.where("held_out").withColumn("sub", F.pmod(h, "subs")).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
-    t = placed.where("not held_out").withColumn("part", F.pmod(h, "parts")).withColumn("sub", F.explode(F.expr("sequence(0, subs - 1)")))
-    keys = ["zone", "band", "sub", "part"]
-    # aliases, as both sides come from one table
-    kinds = [F.col("zone").alias("zone"), F.col("band").alias("band"), F.col("sub").cast("int").alias("sub"), F.col("part").cast("int").alias("part"), F.col("form").alias("form"), F.col("text").alias("text")]
-    return e.select(*kinds).groupBy(*keys).cogroup(t.select(*kinds).groupBy(*keys)).applyInPandas(_join, "form_e binary, form_t binary, distance int")
+    e = e.withColumn("sub", F.pmod(h, "subs")).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+    t = t.withColumn("part", F.pmod(h, "parts")).withColumn("sub", F.explode(F.expr("sequence(0, subs - 1)")))
+    # aliases, as both sides come from one table; cells are few and dear, so each is to have a task
+    tasks = max(1, 3 * cells)
+    e, t = (x.select((F.col("first") + F.col("sub") * F.col("parts") + F.col("part")).cast("int").alias("cell"), F.col("form").alias("form"), F.col("text").alias("text")).repartition(tasks, "cell") for x in (e, t))
+    return e.groupBy("cell").cogroup(t.groupBy("cell")).applyInPandas(_join, "form_e binary, form_t binary, distance int")
 
 
 def find_overlaps(rows: DataFrame) -> DataFrame:
@@ -310,11 +391,10 @@ def find_overlaps(rows: DataFrame) -> DataFrame:
     rows = rows.where("held_out is not null").select("id", "text", "held_out", "image")
     model = bigram_model(rows.select("text"))
     kind = rows.schema["id"].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("held_out", T.BooleanType()), T.StructField("image", T.StringType()), T.StructField("form", T.BinaryType()), T.StructField("text", T.StringType())])
+    schema = T.StructType([T.StructField("id", kind), T.StructField("held_out", T.BooleanType()), T.StructField("image", T.StringType()), T.StructField("form", T.BinaryType()), T.StructField("text", T.StringType()), T.StructField("zone", T.StringType()), T.StructField("may", T.StringType()), T.StructField("n", T.IntegerType())])
     rows = materialize(rows.mapInArrow(_forms(model), schema), "p6-rows")
-    forms = rows.where("text is not null").groupBy("form", "held_out").agg(F.min("text").alias("text"))
-    near = similar_forms(forms).where("form_e <> form_t")
-    near = materialize(near, "p6-near")
+    forms = rows.where("text is not null").groupBy("form", "held_out").agg(*[F.min(c).alias(c) for c in ("text", "zone", "may", "n")])
+    near = materialize(similar_forms(forms).where("form_e <> form_t"), "p6-near")
     e = rows.where("held_out").select(F.col("id").alias("held"), F.col("form").alias("form_e"), F.col("image").alias("image_e"))
     t = rows.where("not held_out").select(F.col("id").alias("train"), F.col("form").alias("form_t"), F.col("image").alias("image_t"))
     same = e.join(t, e["form_e"] == t["form_t"]).select("held", "train", F.lit(0).alias("distance"))
