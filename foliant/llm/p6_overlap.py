@@ -41,6 +41,7 @@ QUERIES = 8_000_000  # characters of the evaluation texts in a block, about
 PART = 6_000_000  # characters of the training texts in a part of a block, about
 SLOTS, PLACES = 1 << 18, 16  # of the index of segments: by hash, and by place in the text
 WORK = 1 << 25  # cells of the choice of segments at once
+PIECE = 128  # segments chosen together
 BITS2, BITS3 = 512, 2048
 BATCH = 4_096  # pairs verified at once
 
@@ -212,16 +213,22 @@ class Block:
             seen = np.concatenate([[0], np.cumsum(seen)]).astype(np.int32 if len(where) < 1 << 31 else np.int64)
             for k in np.unique(self.k[ids]).tolist():
                 same = ids[self.k[ids] == k]
-                most = int(self.lengths[same].max())
-                step = max(1, WORK // (most * (k + 1)))
                 weights = (2 * np.minimum(np.arange(k + 1), k - np.arange(k + 1)) + 1).astype(np.float32)
+                pieces = k // PIECE + 1  # of a long text, each with its share of the segments
+                cuts = [c * (k + 1) // pieces for c in range(pieces + 1)]
+                most = int(self.lengths[same].max()) // pieces + 1
+                step = max(1, WORK // (most * (k // pieces + 2)))
                 for s in range(0, len(same), step):
                     part = same[s : s + step]
-                    i = np.arange(most - q + 1)[:, None]
-                    fits = i + q <= self.lengths[part]
-                    g = grams[np.where(fits, begins[part] + i, begins[part])]
-                    cost = (seen[g + np.minimum((i + k // 2) // wide, PLACES - 1) + 1] - seen[g + np.maximum(i - k // 2, 0) // wide]).astype(np.float32)
-                    starts.append(rarest(np.where(fits, cost + np.float32(0.05), np.float32(np.inf)), k + 1, q, weights).ravel())
+                    got = []
+                    for c in range(pieces):
+                        low, high = self.lengths[part] * c // pieces, self.lengths[part] * (c + 1) // pieces
+                        i = low + np.arange(int((high - low).max()) - q + 1)[:, None]
+                        fits = i + q <= high
+                        g = grams[np.where(fits, begins[part] + i, begins[part])]
+                        cost = (seen[g + np.minimum((i + k // 2) // wide, PLACES - 1) + 1] - seen[g + np.maximum(i - k // 2, 0) // wide]).astype(np.float32)
+                        got.append(low[:, None] + rarest(np.where(fits, cost + np.float32(0.05), np.float32(np.inf)), cuts[c + 1] - cuts[c], q, weights[cuts[c] : cuts[c + 1]]))
+                    starts.append(np.concatenate(got, axis=1).ravel())
                     owner.append(np.repeat(part, k + 1))
             owner, start = np.concatenate(owner), np.concatenate(starts)
             no = np.concatenate([[0], np.cumsum(owner[1:] != owner[:-1])])
