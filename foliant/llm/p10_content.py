@@ -7,8 +7,11 @@ and the output is the expected severity. A document's severity is that of its
 worst sentence; which sentences of an offensive document bear its rating is
 found while fitting (the rating names only the document).
 
-The model is fitted on at most MAX_LABELLED rated documents, taken by hash; how
-common their features are is counted over all documents, and all are scored.
+The model is fitted on all sentences of at most MAX_LABELLED rated documents,
+taken by hash, with one constraint of sign: only a feature that is far more
+frequent in documents rated offensive than in all documents may raise the
+severity, any other can only lower it. Every sentence of every document is
+scored; one without known features has the severity of score 0.
 Defined results: null, empty and blank texts have severity 0; a source of null
 is reported as null; without any rating every severity is 0.
 """
@@ -31,7 +34,7 @@ from pyspark.sql import types as T
 from foliant.runtime import read_table
 
 MAX_LABELLED = 20_000  # rated documents the model is fitted on
-TRIGGER = 1.5  # log odds from which a feature makes its sentence worth scoring
+TRIGGER = 1.5  # log odds from which a feature may raise the severity
 SURE = 4.0  # log of how much less than one feature may do so by chance
 GRADES = {"clean": 0, "unsure": 1, "offensive": 2}
 FOUND_AT = 1.3  # expected severity, from 0 to 2
@@ -125,41 +128,74 @@ def features(words: list[str]) -> set[str]:
     return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)), *(f"{a} _ {b}" for a, b in zip(words, words[2:], strict=False))}
 
 
+class Lexicon:
+    """Finds which of the given features a sentence holds, without building the others."""
+
+    def __init__(self, names: list[str]):
+        self.single: dict[str, int] = {}
+        self.pair: dict[tuple[str, str], int] = {}
+        self.apart: dict[tuple[str, str], int] = {}
+        for i, f in enumerate(names):
+            w = f.split(" ")
+            if len(w) == 1:
+                self.single[f] = i
+            elif len(w) == 2:
+                self.pair[w[0], w[1]] = i
+            else:
+                self.apart[w[0], w[2]] = i
+        self.known = {*self.single, *(w for p in (*self.pair, *self.apart) for w in p)}
+
+    def held(self, words: list[str]) -> set[int]:
+        if self.known.isdisjoint(words):
+            return set()
+        known, single, pair, apart = self.known, self.single, self.pair, self.apart
+        out = set()
+        a = b = None  # the two words before, where known
+        for w in words:
+            if w not in known:
+                a, b = b, None
+                continue
+            if w in single:
+                out.add(single[w])
+            if b is not None and (b, w) in pair:
+                out.add(pair[b, w])
+            if a is not None and (a, w) in apart:
+                out.add(apart[a, w])
+            a, b = b, w
+        return out
+
+
 class Model:
-    def __init__(self, weights: dict[str, float], thresholds: tuple[float, ...], triggers: set[str]):
-        self.weights = weights
+    """raising: the features whose weights may be positive."""
+
+    def __init__(self, weights: dict[str, float], thresholds: tuple[float, ...], raising: set[str] | None = None):
+        self.weights, self.raising = weights, raising or set()
         self.thresholds = np.array(thresholds)
-        self.triggers = triggers
-        self.starts = {w for f in triggers for w in f.split(" ") if w != "_"}
+        self.lexicon = Lexicon(list(weights))
+        self.values = list(weights.values())
 
     def severity(self, z: float) -> float:
         """Expected grade: the sum over the ordered thresholds of P(grade above it)."""
         return float((1 / (1 + np.exp(np.clip(self.thresholds - z, -40, 40)))).sum())
 
     def worst(self, sentences: list[list[str]]) -> float | None:
-        """Largest linear score of the sentences that hold a trigger, None without one."""
-        get, best = self.weights.get, None
-        for words in sentences:
-            if self.starts.isdisjoint(words):
-                continue
-            held = features(words)
-            if not self.triggers.isdisjoint(held):
-                z = sum(get(f, 0.0) for f in held)
-                if best is None or z > best:
-                    best = z
-        return best
+        """Largest linear score of the sentences, None without one or without a fitted weight."""
+        values, held = self.values, self.lexicon.held
+        return None if not values else max((sum([values[i] for i in held(s)]) for s in sentences), default=None)
 
 
-def _fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, weights: np.ndarray, n: int, start=None):
-    """Proximal Adam on the cumulative-link likelihood with a ridge; rows hold feature indices."""
+def _fit_ordinal(rows: list[tuple[int, ...]], grades: np.ndarray, weights: np.ndarray, raising: np.ndarray, steps: int, start=None):
+    """Proximal Adam on the cumulative-link likelihood with a ridge; rows hold feature
+    indices. Weights of features that are not raising stay at most 0."""
+    n = len(raising)
     lens = np.array([len(r) for r in rows])
     at = np.repeat(np.arange(len(rows)), lens)
-    idx = np.concatenate(rows) if len(rows) else np.zeros(0, dtype=int)
+    idx = np.fromiter((i for r in rows for i in r), dtype=np.int64, count=int(lens.sum()))
     w, th = (np.zeros(n), np.array([2.0, 2.5])) if start is None else (start[0].copy(), start[1].copy())
     m, v, mt, vt = np.zeros(n), np.zeros(n), np.zeros(2), np.zeros(2)
     total = weights.sum()
     above = (grades[:, None] > np.arange(2)).astype(float)
-    for t in range(1, STEPS + 1):
+    for t in range(1, steps + 1):
         z = np.bincount(at, w[idx], minlength=len(rows))
         p = 1 / (1 + np.exp(np.clip(th - z[:, None], -40, 40)))
         err = (p - above) * weights[:, None]  # of both binary cuts, which share w
@@ -169,6 +205,7 @@ def _fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, weights: np.ndarray
         mt, vt = 0.9 * mt + 0.1 * gt, 0.99 * vt + 0.01 * gt * gt
         rate = 0.1
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-3)
+        w[~raising] = np.minimum(w[~raising], 0.0)
         th -= rate * (mt / (1 - 0.9**t)) / (np.sqrt(vt / (1 - 0.99**t)) + 1e-3)
         th.sort()
     return w, th
@@ -188,23 +225,24 @@ def document_counts(documents: DataFrame, text: str, wanted: set[str]) -> tuple[
 
     What comes to the driver is bounded by ``wanted``, which the labelled sample bounds.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(wanted)
+    names = sorted(wanted)
+    shared = documents.sparkSession.sparkContext.broadcast(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n, seen, want = Words(), 0, Counter(), shared.value
+        words, n, lexicon = Words(), 0, Lexicon(shared.value)
+        seen = [0] * len(shared.value)
         for b in batches:
             for t in b.column(0):
                 n += 1
                 t = t.as_py()
                 if t:
-                    held: set[str] = set()
-                    for s in words.sentences(t):
-                        held |= features(s) & want
-                    seen.update(held)
-        yield pa.RecordBatch.from_arrays([pa.array(["", *seen], pa.string()), pa.array([n, *seen.values()], pa.int64())], names=["f", "n"])
+                    for i in set().union(*map(lexicon.held, words.sentences(t))):
+                        seen[i] += 1
+        there = [i for i, c in enumerate(seen) if c]
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *there], pa.int32()), pa.array([n, *[seen[i] for i in there]], pa.int64())], names=["f", "n"])
 
-    got = {r["f"]: r["n"] for r in documents.select(text).mapInArrow(run, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}
-    return got.pop("", 0), got
+    got = {r["f"]: r["n"] for r in documents.select(text).mapInArrow(run, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}
+    return got.pop(-1, 0), {names[i]: n for i, n in got.items()}
 
 
 def fit(texts: list[str], ratings: list[list[int]], n_docs: int, counts: dict[str, int]) -> Model:
@@ -215,32 +253,35 @@ def fit(texts: list[str], ratings: list[list[int]], n_docs: int, counts: dict[st
     held = candidates(texts, ratings)
     nb = sum(bool(g) and np.mean(g) > 1.0 for g in ratings)
     if not held:
-        return Model({}, (2.0, 2.5), set())
-    odds, triggers = {}, set()
+        return Model({}, (2.0, 2.5))
+    odds, raising = {}, set()
     for f, n in held.items():
         rest = max(0, counts.get(f, n) - n)
         odds[f] = float(np.log((n + 0.1) / (nb + 1)) - np.log((rest + 0.5) / (max(1, n_docs - nb) + 1)))
         # how likely so many of its documents are rated offensive by chance, against as many features as documents
         chance = lgamma(n + rest + 1) - lgamma(n + 1) - lgamma(rest + 1) + n * np.log(nb / max(n_docs, nb + 1))
         if odds[f] > TRIGGER and chance < -(np.log(n_docs + 1) + SURE):
-            triggers.add(f)
+            raising.add(f)
     words = Words()
-    # only sentences that hold a trigger can score, so only they are learned from
-    mean, doc, rows, score = [], [], [], []
-    for t, g in zip(texts, ratings, strict=True):
-        if not g:
-            continue
-        for s in words.sentences(t or ""):
-            f = features(s)
-            if not triggers.isdisjoint(f):
-                doc.append(len(mean)), rows.append(f), score.append(sum(sorted((odds.get(x, -1.0) for x in f), reverse=True)[:6]))
-        mean.append(float(np.mean(g)))
-    seen = Counter(f for s in rows for f in s)
-    index = {f: k for k, f in enumerate(f for f, n in seen.items() if n >= MIN_SEEN)}
-    ids = [np.array([index[f] for f in s if f in index], dtype=int) for s in rows]
-    doc, score = np.array(doc, dtype=int), np.array(score)
+    split = [words.sentences(t or "") if g else [] for t, g in zip(texts, ratings, strict=True)]
+    mean = [float(np.mean(g)) if g else 0.0 for g in ratings]
+    marks = Lexicon(sorted(raising))
+    marked = [(i, features(s)) for i, d in enumerate(split) for s in d if marks.held(s)]
+    # a feature lowers only what another raises, so those of sentences with a raising one are all that matter
+    seen = Counter(f for _, s in marked for f in s)
+    index = {f: k for k, f in enumerate(sorted(f for f, n in seen.items() if n >= MIN_SEEN))}
+    if not index:
+        return Model({}, (2.0, 2.5))
+    may_raise = np.array([f in raising for f in index])
+    doc = np.array([i for i, _ in marked])
+    ids = [tuple(sorted(index[f] for f in s if f in index)) for _, s in marked]
+    score = np.array([sum(sorted((odds.get(x, -1.0) for x in s), reverse=True)[:6]) for _, s in marked])
+    lexicon, plain = Lexicon(list(index)), Counter()
+    for d, mu in zip(split, mean, strict=True):
+        if mu <= 0.5:
+            plain.update(r for r in (tuple(sorted(lexicon.held(s))) for s in d) if not any(may_raise[i] for i in r))
     start, lead, least = None, 5.0, 6.0
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         top = np.full(len(mean), -np.inf)
         np.maximum.at(top, doc, score)
         x, y, wt = [], [], []
@@ -253,18 +294,23 @@ def fit(texts: list[str], ratings: list[list[int]], n_docs: int, counts: dict[st
             elif sc < 0:
                 x.append(r), y.append(0), wt.append(0.5)
         if not x:
-            return Model({}, (2.0, 2.5), set())
-        w, th = _fit_ordinal(x, np.array(y), np.array(wt), len(index), start)
+            return Model({}, (2.0, 2.5))
+        # the many sentences that nothing raises weigh as much as all others together
+        share = sum(wt) / max(1, plain.total())
+        x += list(plain)
+        y += [0] * len(plain)
+        wt += [n * share for n in plain.values()]
+        w, th = _fit_ordinal(x, np.array(y), np.array(wt), may_raise, STEPS if turn == 0 else STEPS // 2, start)
         start, lead, least = (w, th), 6.0, -0.5
-        score = np.array([w[r].sum() for r in ids]) - th.mean()
-    return Model({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 0.01}, tuple(float(t) for t in th), triggers)
+        score = np.array([w[list(r)].sum() for r in ids]) - th.mean()
+    return Model({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 0.01}, tuple(float(t) for t in th), raising)
 
 
 def rated(documents: DataFrame, reviews: DataFrame, bound: int = MAX_LABELLED) -> tuple[list[str], list[list[int]]]:
     """Texts and grades of at most ``bound`` rated documents, by hash."""
     grade = F.when(F.col("rating") == "offensive", 2).when(F.col("rating") == "unsure", 1).when(F.col("rating") == "clean", 0)
     per = reviews.withColumn("g", grade).where("g is not null and doc_id is not null").groupBy("doc_id").agg(F.collect_list("g").alias("grades"))
-    chosen = per.orderBy(F.xxhash64("doc_id")).limit(bound)
+    chosen = F.broadcast(per.orderBy(F.xxhash64("doc_id")).limit(bound))  # bounded by the limit
     got = documents.where("text is not null").select("doc_id", "text").join(chosen, "doc_id").orderBy("doc_id").select("text", "grades").toPandas()
     return list(got["text"]), [list(g) for g in got["grades"]]
 
@@ -276,7 +322,7 @@ def learn(documents: DataFrame, reviews: DataFrame) -> Model:
 
 def score(documents: DataFrame, key: str, text: str, model: Model) -> DataFrame:
     """``documents`` without the text, with severity (0 to 2)."""
-    shared = documents.sparkSession.sparkContext.broadcast((model.weights, tuple(model.thresholds), model.triggers))  # bounded by the labelled sample
+    shared = documents.sparkSession.sparkContext.broadcast((model.weights, tuple(model.thresholds)))  # bounded by the labelled sample
 
     def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own, words = Model(*shared.value), Words()
