@@ -20,6 +20,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from foliant.llm.p8_tokens import count_tokens
 from foliant.runtime import materialize, read_table
@@ -53,7 +54,7 @@ def solve_rates(hist: DataFrame, targets: dict[str, tuple[float, float]]) -> dic
         now = spark.createDataFrame([(s, lam[s], float(targets[s][1])) for s in sorted(open_)], schema)
         rate = _rate(F.col("lam"), F.col("n_tok"), F.col("cap"))
         moment = F.col("n") * F.col("n_tok") * F.col("r")
-        sums = hist.join(now, "source").withColumn("r", rate).groupBy("source").agg(
+        sums = hist.join(F.broadcast(now), "source").withColumn("r", rate).groupBy("source").agg(
             F.sum(moment).alias("f"), F.sum(F.when(F.col("r") < F.col("cap"), moment * F.col("n_tok") / SCALE).otherwise(0.0)).alias("g")).collect()
         for r in sums:
             s, gap = r["source"], r["f"] - targets[r["source"]][0]
@@ -66,6 +67,8 @@ def solve_rates(hist: DataFrame, targets: dict[str, tuple[float, float]]) -> dic
                 lo, hi = low[s], high[s]
                 step = (lo + hi) / 2 if lo > -math.inf and hi < math.inf else (lo * 2 + 1 if hi == math.inf and lo >= 0 else lam[s] + (1 if gap < 0 else -1))
             lam[s] = step
+    if open_:
+        raise RuntimeError(f"no rates within {MAX_STEPS} steps for the sources {sorted(open_)}")
     return {s: lam.get(s) if capacity.get(s, 0) > targets[s][0] else None for s in targets}
 
 
@@ -88,7 +91,7 @@ def mix_to_weights(docs: DataFrame, targets: DataFrame, seed: int = 9) -> tuple[
     rate = F.when(F.col("lam").isNull(), F.col("cap")).otherwise(_rate(F.col("lam"), F.col("n_tok"), F.col("cap")))
     u = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 40)) / float(1 << 40)
     copies = (
-        docs.join(solved, "source").withColumn("rate", rate)
+        docs.join(F.broadcast(solved), "source").withColumn("rate", rate)  # one row a target source
         .withColumn("copies", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
         .select("id", "source", "n_tok", "copies")
     )
@@ -117,10 +120,10 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of every source."""
     report = _run(spark, sf_dir)[1]
-    whole = report.agg(F.sum("actual_tokens").alias("_all"))  # one row
-    return report.join(whole).select(
+    whole = F.sum("actual_tokens").over(W.partitionBy(F.lit(1)))  # one row a target source
+    return report.select(
         "source", "weight", "source_tokens", "capacity_tokens", "target_tokens", "actual_tokens", "n_copies",
-        (F.col("actual_tokens") / F.nullif(F.col("_all"), F.lit(0))).alias("actual_share"), "short")
+        (F.col("actual_tokens") / F.nullif(whole, F.lit(0))).alias("actual_share"), "short")
 
 
 def p9_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
