@@ -38,11 +38,13 @@ from foliant.llm.p3_visual import Canonical, bigram_model
 from foliant.runtime import materialize, read_table
 
 QUERIES = 8_000_000  # characters of the evaluation texts in a block, about
+RATIO = 1.6  # of the lengths of the evaluation texts in a block, at most
 PART = 6_000_000  # characters of the training texts in a part of a block, about
 SLOTS, PLACES = 1 << 18, 16  # of the index of segments: by hash, and by place in the text
 WORK = 1 << 25  # cells of the choice of segments at once
+SLICE = 1 << 12  # pairs whose n-grams are compared at once
 PIECE = 128  # segments chosen together
-BITS2, BITS3 = 512, 2048
+BITS2, BITS3 = 2, 8  # bits for hashed n-grams, for each character of the longest text
 BATCH = 4_096  # pairs verified at once
 
 _ZONES = ((0x0, 0x900, "L"), (0x900, 0x980, "D"), (0x1900, 0x1950, "I"), (0x1C00, 0x1C50, "R"), (0x1C50, 0x1C80, "O"), (0x1E00, 0x2000, "L"), (0x11480, 0x114E0, "T"), (0x11BC0, 0x11C00, "S"))
@@ -198,8 +200,8 @@ class Block:
         self.texts = texts
         flat, begins, self.lengths = _codes(texts)
         self.k = self.lengths // 9
-        self.two = _bits(flat, begins, self.lengths, 2, BITS2)
-        self.three = _bits(flat, begins, self.lengths, 3, BITS3)
+        longest = int(self.lengths.max())
+        self.bounds = [(n, bits, _bits(flat, begins, self.lengths, n, bits)) for n, bits in ((n, max(64, 1 << min(18, (x * longest - 1).bit_length()))) for n, x in ((2, BITS2), (3, BITS3)))]
         common = _codes(texts if others is None else others)
         sizes = np.array([segment_length(n) for n in self.lengths])
         self.held = []  # for each segment length: width of a place, reach, postings of each slot and place, text and bounds of each posting
@@ -239,7 +241,7 @@ class Block:
             owner, start, no = owner[order], start[order], no[order]
             behind, tail = self.k[owner] - no, start - self.lengths[owner]
             # where the segment may start in a partner, from its front and from its end
-            bounds = np.stack([start - no, start + no, tail - behind, tail + behind], axis=1).astype(np.int32)
+            bounds = np.stack([start - no, start + no, tail - behind, tail + behind], axis=1).astype(np.int16 if longest < 20_000 else np.int32)
             self.held.append((q, wide, int(self.k[ids].max()), first, owner.astype(np.int32), bounds))
 
     def partners(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -250,7 +252,6 @@ class Block:
         k - j behind it. Only such places are looked at.
         """
         flat, begins, lengths = _codes(texts)
-        near = lengths.astype(np.int32)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for q, wide, reach, first, owner, bounds in self.held:
             row, place = _spread(begins, np.maximum(lengths - q + 1, 0))
@@ -261,20 +262,23 @@ class Block:
             n = first[slot + np.minimum((p + reach) // wide, PLACES - 1) + 1] - low
             hit = np.flatnonzero(n)
             which, post = _spread(low[hit], n[hit])
-            row, front = row[hit].astype(np.int32), p[hit].astype(np.int32)
-            end = front - near[row]
-            may = bounds[post]
-            f, e = front[which], end[which]
+            row, front = row[hit], p[hit]
+            may = bounds.take(post, axis=0, mode="clip")
+            f, e = front.astype(bounds.dtype).take(which), (front - lengths[row]).astype(bounds.dtype).take(which)
             ok = np.flatnonzero((f >= may[:, 0]) & (f <= may[:, 1]) & (e >= may[:, 2]) & (e <= may[:, 3]))
             found.append((row[which[ok]], owner[post[ok]]))
         if not found:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         t, e = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
         k = np.maximum(lengths[t], self.lengths[e]) // 10
-        for table, bits, n in ((self.two, BITS2, 2), (self.three, BITS3, 3)):
-            some, at = np.unique(t, return_inverse=True)
+        for n, bits, table in self.bounds:
+            some, at = np.unique(t, return_inverse=True) if n > 2 else (np.arange(len(texts)), t)
             own = _bits(flat, begins[some], lengths[some], n, bits)
-            ok = np.bitwise_count(table[e] ^ own[at]).sum(1, dtype=np.int64) <= 2 * n * k
+            ok = np.zeros(len(t), dtype=bool)
+            for s in range(0, len(t), SLICE):  # small enough for the processor's cache
+                x = table.take(e[s : s + SLICE], axis=0, mode="clip")
+                x ^= own.take(at[s : s + SLICE], axis=0, mode="clip")
+                ok[s : s + SLICE] = np.bitwise_count(x).sum(1, dtype=np.int32) <= 2 * n * k[s : s + SLICE]
             t, e, k = t[ok], e[ok], k[ok]
         return np.divmod(np.unique(t * len(self.texts) + e), len(self.texts))
 
@@ -352,7 +356,7 @@ def plan_blocks(held: dict[tuple[str, int], int], train: dict[tuple[str, int], i
         at = 0
         while at < len(lengths):
             end, size = at, 0
-            while end < len(lengths) and (end == at or size + held[zone, lengths[end]] * lengths[end] <= queries):
+            while end < len(lengths) and lengths[end] <= RATIO * lengths[at] and (end == at or size + held[zone, lengths[end]] * lengths[end] <= queries):
                 size += held[zone, lengths[end]] * lengths[end]
                 end += 1
             low, high = _reach(lengths[at]).start, _reach(lengths[end - 1]).stop
