@@ -32,8 +32,7 @@ from pyspark.sql import functions as F
 
 from foliant.runtime import materialize, read_table
 
-SHARE = 1.3e-5  # of all words that a frequent word makes up at least
-LEAST = 10  # occurrences of a frequent word
+LEAST = 20  # occurrences of a word that others may be corrected to; the same for a corpus of any size
 RATIO = 15  # how much more often the right word occurs than the misread one
 SUPPORT = 4  # different rare words that a confusion must explain
 REVERSED = 2  # and that the reverse of such a confusion must explain
@@ -198,10 +197,8 @@ def find_confusions(counts: DataFrame) -> DataFrame:
 
     counts: kind, item, n of :func:`count_items`, titles decided.
     """
-    total = counts.where("kind = 'w'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    often = max(LEAST, SHARE * total)
     lexicon = counts.where("kind = 'w' and length(item) > 2").select(F.col("item").alias("word"), "n")
-    frequent = _anagram_keys(lexicon.where(F.col("n") >= often)).select(F.col("word").alias("variant"), F.col("n").alias("n_variant"), "rest", F.col("part").alias("right"))
+    frequent = _anagram_keys(lexicon.where(F.col("n") >= LEAST)).select(F.col("word").alias("variant"), F.col("n").alias("n_variant"), "rest", F.col("part").alias("right"))
     of_pages = counts.where("kind = 'p'").select(F.col("item").alias("word"))
     rare = _anagram_keys(lexicon.join(of_pages, "word", "left_semi")).select("word", "n", "rest", F.col("part").alias("wrong"))
     near = rare.join(frequent, "rest").where(
