@@ -92,6 +92,10 @@ class Repairer:
         self.letters = set(letters)
         self.sound = {*letters, *SOUND_SIGNS, *SOUND_LETTERS}
         self.table = garbled_sequences(letters)
+        self.altered: dict[str, set[str]] = defaultdict(set)  # the letters that each pair would not leave as they are
+        for means in self.table.values():
+            for pair, original in means:
+                self.altered[pair].add(original)
         self.machine = ahocorasick.Automaton()
         for seq, means in self.table.items():
             self.machine.add_word(seq, (seq, means))
@@ -124,7 +128,11 @@ class Repairer:
         # the pair that explains most of the text comes first
         for pair, spans in sorted(found.items(), key=lambda x: -sum(f[3] for f in x[1])):
             free = [f for f in spans if not taken & set(range(f[0], f[1]))]
-            if sum(f[3] for f in free) < 1.0:
+            # letters that are also sound are no evidence by themselves, however many
+            if sum(f[3] for f in free) < 1.0 or max(f[3] for f in free) < 0.5:
+                continue
+            # nor is one letter, where others stand that the same mistake would have altered
+            if len(free) == 1 and free[0][1] - free[0][0] == 1 and self.letters & self.altered[pair] & set(text):
                 continue
             for start, end, original, _ in sorted(free, key=lambda f: (f[0], -f[1])):
                 if not taken & set(range(start, end)):
