@@ -61,21 +61,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def group_records(df: DataFrame, record: str, keys: dict[str, Column]) -> DataFrame:
+def group_records(df: DataFrame, record: str, keys: dict[str, Column], across: bool = False) -> DataFrame:
     """(record, component) with component null for a record without any value.
 
-    keys: name -> cleaned value (null links nothing).
+    keys: name -> cleaned value (null links nothing). across: a value is one node in whichever
+    field it stands; else equal values of different fields are different things.
     """
-    tagged = [F.when(k.isNotNull(), F.concat(F.lit(f"{n}:"), k)) for n, k in keys.items()]
+    tagged = [k if across else F.when(k.isNotNull(), F.concat(F.lit(f"{n}:"), k)) for n, k in keys.items()]
     held = df.select(F.col(record).alias("record"), *[t.alias(f"k{i}") for i, t in enumerate(tagged)])
-    names = [f"k{i}" for i in range(len(tagged))]
+    names = [f"k{i}" for i in range(len(keys))]
     first = F.coalesce(*names)
     pairs = held.select(F.explode(F.array(*[F.struct(first.alias("u"), F.col(n).alias("v")) for n in names])).alias("p"))
     found = connected_components(pairs.select("p.u", "p.v").where("u is not null and v is not null"))
-    return (
-        held.select("record", first.alias("node")).join(found, "node", "left")
-        .select("record", F.coalesce("component", "node").alias("component"))
-    )
+    node = held.select("record", first.alias("node"))
+    linked = node.where("node is not null").join(found, "node", "left").select("record", F.coalesce("component", "node").alias("component"))
+    # records without any value never meet in one key of the join
+    return linked.unionByName(node.where("node is null").select("record", F.lit(None).cast("string").alias("component")))
 
 
 def assign_splits(grouped: DataFrame, shares: list[tuple[str, float]], salt: int = 4) -> DataFrame:
@@ -93,7 +94,8 @@ def assign_splits(grouped: DataFrame, shares: list[tuple[str, float]], salt: int
 def _grouped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     m = read_table(spark, sf_dir, "manifest")
     keys = {k: clean_key(F.col("metadata")[k]) for k in ("author", "source_document", "entity")}
-    return m, group_records(m, "row_id", keys)
+    # entities stand in the author's field and authors in the entity's, each under its own id
+    return m, group_records(m, "row_id", keys, across=True)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,6 +170,15 @@ def test_p4_components_against_union_find(spark, seed):
     assert {frozenset(g) for g in got.values()} == _components([(i, a, b, c) for i, a, b, c in rows])
 
 
+def test_p4_values_across_fields(spark):
+    df = spark.createDataFrame([(1, "ent-1", None), (2, None, "ent-1"), (3, "aut-1", "ent-2"), (4, None, None)], "row_id long, author string, entity string")
+    keys = {k: F.col(k) for k in ("author", "entity")}
+    got = {r["record"]: r["component"] for r in p4.group_records(df, "row_id", keys, across=True).collect()}
+    assert got[1] == got[2] != got[3] and got[4] is None
+    apart = {r["record"]: r["component"] for r in p4.group_records(df, "row_id", keys).collect()}
+    assert apart[1] != apart[2]
+
+
 def test_p4_splits_keep_groups_whole_and_meet_shares(spark):
     df = spark.range(6000).select(F.col("id").alias("record"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("g"), (F.col("id") % 1500).cast("string"))).alias("component"))
     got = p4.assign_splits(df, [("train", 0.8), ("validation", 0.1), ("test", 0.1)])
