@@ -36,6 +36,7 @@ MAX_TRAIN = 800
 WINDOW = 60
 BUCKETS = 1 << 17
 STEPS = 50
+STEPS_CROSS = 20  # of the fields that only tell wrong labels
 FOREIGN = -9.0  # score of a language in a script the registry does not give it
 MEMO = 400_000
 BATCH = 4_000
@@ -107,7 +108,7 @@ class Field:
         return (fwd, pairs) if with_pairs else fwd
 
 
-def train(texts: list[list[str]], labels: list[int], languages: list[str], scripts: dict[str, set[str]] | None = None, seed: int = 2) -> Field:
+def train(texts: list[list[str]], labels: list[int], languages: list[str], scripts: dict[str, set[str]] | None = None, steps: int = STEPS, seed: int = 2) -> Field:
     """texts: words. A third of the sequences join two texts, so that switches are learned."""
     rng = np.random.RandomState(seed)
     k = len(languages)
@@ -119,9 +120,14 @@ def train(texts: list[list[str]], labels: list[int], languages: list[str], scrip
             o = order[j - 1]
             w, y = w + texts[o], y + [labels[o]] * len(texts[o])
         seqs.append((w, y))
-    seqs.sort(key=lambda s: -len(s[0]))
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for s, _ in seqs for w in s))}
-    feats = [word_features(w) for w in vocabulary]
+    known = {w: word_features(w) for s, _ in seqs for w in s}
+    # words without letters are no links of the chain
+    seqs = [([w for w in s if len(known[w])], [x for w, x in zip(s, y, strict=True) if len(known[w])]) for s, y in seqs]
+    seqs = sorted((s for s in seqs if s[0]), key=lambda s: -len(s[0]))
+    if not seqs:
+        return Field(languages, np.zeros((BUCKETS, k), dtype=np.float32), np.eye(k) * 2, np.zeros(k))
+    vocabulary = {w: i for i, w in enumerate(w for w, f in known.items() if len(f))}
+    feats = [known[w] for w in vocabulary]
     sizes = np.array([len(f) for f in feats])
     rows, flat = np.repeat(np.arange(len(feats)), sizes), np.concatenate(feats) if feats else np.zeros(0, dtype=np.int64)
     used, cols = np.unique(flat, return_inverse=True)
@@ -134,20 +140,20 @@ def train(texts: list[list[str]], labels: list[int], languages: list[str], scrip
     total = mask.sum()
     i_at, t_at = np.indices(gold.shape, sparse=True)
     params = [np.zeros((len(used), k)), np.eye(k) * 2.0, np.zeros(k)]
-    known = np.zeros_like(params[0])  # what the registry tells is not learned
+    given = np.zeros_like(params[0])  # what the registry tells is not learned
     for script in SCRIPTS:
         bucket = zlib.crc32(f"s{script}".encode()) % BUCKETS
         at = np.searchsorted(used, bucket)
         if scripts and at < len(used) and used[at] == bucket:
-            known[at] = [0.0 if script in scripts[x] else FOREIGN for x in languages]
+            given[at] = [0.0 if script in scripts[x] else FOREIGN for x in languages]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     empirical = np.zeros((k, k))
     np.add.at(empirical, (gold[:, :-1][mask[:, 1:]], gold[:, 1:][mask[:, 1:]]), 1)
     field = Field(languages, params[0], params[1], params[2])
-    for step in range(1, STEPS + 1):
+    for step in range(1, steps + 1):
         table = np.zeros((len(feats), k), dtype=np.float32)
         for c in range(k):
-            table[:, c] = np.bincount(rows, (params[0] + known)[cols, c], minlength=len(feats))
+            table[:, c] = np.bincount(rows, (params[0] + given)[cols, c], minlength=len(feats))
         field.transitions, field.first = params[1], params[2]
         post, pairs = field.posteriors(table[words], lengths, True)
         diff = post.transpose(1, 0, 2).copy()
@@ -163,7 +169,7 @@ def train(texts: list[list[str]], labels: list[int], languages: list[str], scrip
             m[1] = 0.98 * m[1] + 0.02 * g * g
             p -= 0.15 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.98**step)) + 1e-3)
     weights = np.zeros((BUCKETS, k), dtype=np.float32)
-    weights[used] = params[0] + known
+    weights[used] = params[0] + given
     return Field(languages, weights, params[1], params[2])
 
 
@@ -177,31 +183,35 @@ class Labeller:
     def reset(self) -> None:
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1 << 14, self.k), dtype=np.float32)
-        self.known = np.zeros(1 << 14, dtype=bool)
+        self.known = np.zeros(1 << 14, dtype=bool)  # has letters
+        self.counts = np.zeros(1 << 14, dtype=bool)  # has letters or digits
 
     def _add(self, word: str) -> int:
         i = len(self.rows)
         if i == len(self.table):
-            self.table, self.known = np.concatenate([self.table, np.zeros_like(self.table)]), np.concatenate([self.known, np.zeros_like(self.known)])
+            self.table, self.known, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.table, self.known, self.counts))
         f = word_features(word)
         if len(f):
             self.table[i], self.known[i] = self.field.weights[f].sum(0), True
+        self.counts[i] = self.known[i] or any(c.isalnum() for c in word)
         self.rows[word] = i
         return i
 
-    def label(self, texts: list[str | None]) -> list[list[tuple[int, int, int, float]]]:
-        """For each text its segments (language, first word, last word, confidence)."""
-        out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
-        ids = []
+    def label(self, texts: list[str | None]) -> list[list[tuple[int, int, int, float, int]]]:
+        """For each text its segments (language, first word, last word, confidence, words that are no mere signs)."""
+        out: list[list[tuple[int, int, int, float, int]]] = [[] for _ in texts]
+        ids, late = [], []
         for i, t in enumerate(texts):
             if t and (w := t.split()):
                 if len(self.rows) > MEMO:
-                    ids += [(i, None, w)]
+                    late.append(i)
                     continue
                 get = self.rows.get
-                ids.append((i, np.array([r if (r := get(x)) is not None else self._add(x) for x in w], dtype=np.int64), None))
-        late = [(i, w) for i, a, w in ids if a is None]
-        ids = sorted(((i, a) for i, a, _ in ids if a is not None), key=lambda x: -len(x[1]))
+                a = np.array([r if (r := get(x)) is not None else self._add(x) for x in w], dtype=np.int64)
+                at = np.flatnonzero(self.known[a])  # words without letters are no links of the chain
+                if len(at):
+                    ids.append((i, a[at], at, np.concatenate([[0], np.cumsum(self.counts[a])])))
+        ids.sort(key=lambda x: -len(x[1]))
         at = 0
         while at < len(ids):
             # as many texts as keep the padded block small
@@ -210,55 +220,53 @@ class Labeller:
             at += n
         if late:
             self.reset()
-            for (i, _), segs in zip(late, self.label([texts[i] for i, _ in late]), strict=True):
+            for i, segs in zip(late, self.label([texts[i] for i in late]), strict=True):
                 out[i] = segs
         return out
 
-    def _block(self, block: list[tuple[int, np.ndarray]], out: list) -> None:
-        lengths = np.array([len(a) for _, a in block])
+    def _block(self, block: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], out: list) -> None:
+        lengths = np.array([len(a) for _, a, *_ in block])
         words = np.zeros((len(block), lengths[0]), dtype=np.int64)
-        for j, (_, a) in enumerate(block):
+        for j, (_, a, *_) in enumerate(block):
             words[j, : len(a)] = a
         post = self.field.posteriors(self.table[words], lengths)
         best, sure = post.argmax(2).T, post.max(2).T
-        known = self.known[words]
-        for j, (i, a) in enumerate(block):
-            n = len(a)
-            at = np.flatnonzero(known[j, :n])
-            if len(at):
-                out[i] = runs(best[j, :n], sure[j, :n], at)
-
-
-def runs(best: np.ndarray, sure: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """Segments of a labelled text. at: the words that have letters; others belong to the run around them."""
-    lab = best[at]
-    cuts = np.flatnonzero(np.diff(lab)) + 1
-    starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(lab)]])
-    segs = [[int(lab[s]), int(at[s]) if s else 0, int(at[e]) - 1 if e < len(at) else len(best) - 1, float(sure[at[s:e]].mean())] for s, e in zip(starts, ends, strict=True)]
+        for j, (i, a, at, upto) in enumerate(block):
+            out[i] = runs(best[j, : len(a)], sure[j, : len(a)], at, upto)
+
+
+def runs(best: np.ndarray, sure: np.ndarray, at: np.ndarray, upto: np.ndarray) -> list[tuple[int, int, int, float, int]]:
+    """Segments of a labelled text. best, sure: of the words that have letters, at the places ``at``; the others belong to
+    the run around them. upto: how many words that are no mere signs stand before each place."""
+    last = len(upto) - 2
+    cuts = np.flatnonzero(np.diff(best)) + 1
+    starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(best)]])
+    segs = [[int(best[s]), int(at[s]) if s else 0, int(at[e]) - 1 if e < len(at) else last, float(sure[s:e].mean())] for s, e in zip(starts, ends, strict=True)]
+    size = lambda s: int(upto[s[2] + 1] - upto[s[1]])
     if len(segs) > 1:
         # an insertion too short to count does not part the run around it
         merged: list[list] = []
         for i, s in enumerate(segs):
-            if s[2] - s[1] + 1 < MIN_RUN and merged and i + 1 < len(segs) and merged[-1][0] == segs[i + 1][0]:
+            if size(s) < MIN_RUN and merged and i + 1 < len(segs) and merged[-1][0] == segs[i + 1][0]:
                 merged[-1][2] = s[2]
             elif merged and merged[-1][0] == s[0]:
-                a, b = merged[-1][2] - merged[-1][1] + 1, s[2] - s[1] + 1
+                a, b = size(merged[-1]), size(s)
                 merged[-1][3] = (merged[-1][3] * a + s[3] * b) / (a + b)
                 merged[-1][2] = s[2]
             else:
                 merged.append(s)
         segs = merged
-    return [tuple(s) for s in segs]
+    return [(*s, size(s)) for s in segs]
 
 
-def written(segs: list[tuple[int, int, int, float]]) -> set[int]:
+def written(segs: list[tuple[int, int, int, float, int]]) -> set[int]:
     """Languages in which a text is written: those of its long runs, or the one of nearly all of it."""
-    long = {s[0] for s in segs if s[2] - s[1] + 1 >= MIN_RUN}
+    long = {s[0] for s in segs if s[4] >= MIN_RUN}
     if long or not segs:
         return long
     share: dict[int, int] = {}
     for s in segs:
-        share[s[0]] = share.get(s[0], 0) + s[2] - s[1] + 1
+        share[s[0]] = share.get(s[0], 0) + s[4]
     return {max(share, key=share.get)}
 
 
@@ -316,7 +324,7 @@ def fit(texts: list[list[str]], labels: list[int], languages: list[str], scripts
         return train(texts, labels, languages, scripts)
     sound: list[int] = []
     for own, other in (halves, halves[::-1]):
-        by = Labeller(train([texts[i] for i in other], [labels[i] for i in other], languages, scripts))
+        by = Labeller(train([texts[i] for i in other], [labels[i] for i in other], languages, scripts, STEPS_CROSS))
         for i, segs in zip(own, by.label([" ".join(texts[i]) for i in own]), strict=True):
             if segs and written(segs) == {labels[i]}:
                 sound.append(i)
