@@ -13,7 +13,8 @@ by a field trained on the other half of them. Every text is labelled whole.
 Defined results: null and blank texts, and texts without any letter, have no
 segments; digits and punctuation belong to the run around them; an insertion
 of fewer than MIN_RUN words does not part the run around it and is not a
-language of the text.
+language of the text, nor is a run beside the longest that is not SURE (it is
+still a segment).
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import types as T
 from foliant.runtime import read_table
 
 MIN_RUN = 8
+SURE = 0.96  # mean posterior from which a run other than the longest counts; right ones are nearly all above it
 MAX_TRAIN = 800
 WINDOW = 60
 BUCKETS = 1 << 17
@@ -260,8 +262,10 @@ def runs(best: np.ndarray, sure: np.ndarray, at: np.ndarray, upto: np.ndarray) -
 
 
 def written(segs: list[tuple[int, int, int, float, int]]) -> set[int]:
-    """Languages in which a text is written: those of its long runs, or the one of nearly all of it."""
-    long = {s[0] for s in segs if s[4] >= MIN_RUN}
+    """Languages in which a text is written: that of its longest run, and those of other long runs of which
+    the model is sure; without long runs, the one of nearly all of it."""
+    most = max((s[4] for s in segs), default=0)
+    long = {s[0] for s in segs if s[4] >= MIN_RUN and (s[4] == most or s[3] >= SURE)}
     if long or not segs:
         return long
     share: dict[int, int] = {}
