@@ -27,9 +27,30 @@ def category(c: Column) -> Column:
     return F.when(v != "", v)
 
 
-def sample_to_targets(frame: DataFrame, request: DataFrame, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def fill(wanted: list[float], floors: list[float], supplies: list[float]) -> list[float]:
+    """Sizes that sum to the wanted total, as far as the supplies reach, in the wanted proportions between floor and supply.
+
+    One factor for all: what short categories lack and floors add is spread over the others in proportion.
+    """
+    low = [min(f, s) for f, s in zip(floors, supplies, strict=True)]
+    total = min(max(sum(wanted), sum(low)), sum(supplies))
+    at = lambda x: [min(max(x * w, a), s) for w, a, s in zip(wanted, low, supplies, strict=True)]
+    if sum(at(1e9)) < total:  # categories without a target are not raised above their floor
+        return at(1e9)
+    a, b = 0.0, 1e9
+    for _ in range(200):
+        m = (a + b) / 2
+        a, b = (m, b) if sum(at(m)) < total else (a, m)
+    return at(b)
+
+
+def sample_to_targets(frame: DataFrame, request: DataFrame, seed: int = 17, keep_size: bool = False) -> tuple[DataFrame, DataFrame]:
     """(sample, report).
 
+    keep_size: what short categories lack and floors add is spread over the others of the dataset,
+    so that the sample has its planned size and the others keep their proportions; else each category
+    is drawn to its own demand.
+
     frame: dataset, sample_id, category (nullable), possibly repeated.
     request: dataset, category, target_share, min_rows, sample_fraction; small, one row per category.
     sample: dataset, sample_id, category. report: one row per request with
@@ -50,7 +71,18 @@ def sample_to_targets(frame: DataFrame, request: DataFrame, seed: int = 17) -> t
         .withColumn("demand", F.greatest(F.col("min_rows").cast("double"), F.col("target_share") * F.col("sample_fraction") * F.col("n_dataset")))
         .withColumn("w", F.when(F.col("supply") > 0, F.round(F.least(F.lit(1.0), F.col("demand") / F.col("supply")) * UNIT).cast("long")).otherwise(F.lit(0)))
     )
-    plan = materialize(plan, "p1-plan")  # as small as the request
+    if keep_size:
+        rows = plan.collect()  # as small as the request
+        held: dict[str, list] = {}
+        for r in rows:
+            held.setdefault(r["dataset"], []).append(r)
+        sizes_of = {}
+        for d, rs in held.items():
+            base = [(r["target_share"] or 0.0) * (r["sample_fraction"] or 0.0) * r["n_dataset"] for r in rs]
+            for r, size in zip(rs, fill(base, [float(r["min_rows"] or 0) for r in rs], [float(r["supply"]) for r in rs]), strict=True):
+                sizes_of[d, r["category"]] = round(size / r["supply"] * UNIT) if r["supply"] else 0
+        plan = frame.sparkSession.createDataFrame([(*r[:-1], sizes_of[r["dataset"], r["category"]]) for r in rows], plan.schema)
+    plan = F.broadcast(materialize(plan, "p1-plan"))  # as small as the request
     u = F.xxhash64(F.lit(seed), "dataset", "category", "sample_id")
     drawn_from = (
         units.select("dataset", "sample_id", F.explode("categories").alias("category"))
@@ -90,7 +122,7 @@ def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     m = read_table(spark, sf_dir, "manifest")
     frame = m.select("dataset", "sample_id", category(F.col("metadata")["document_type"]).alias("category"))
     request = read_table(spark, sf_dir, "sample_request").withColumnRenamed("document_type", "category")
-    return sample_to_targets(frame, request)
+    return sample_to_targets(frame, request, keep_size=True)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,9 +137,16 @@ def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target against drawn share of each category, with the shortfalls."""
+    """Target against drawn share of each category, the gap between them and its cause.
+
+    cause: supply (all of it is drawn), floor (min_rows is more than the share), others (what other
+    categories of the dataset lack or have by their floors is spread over this one); null for a gap of up to 0.005.
+    """
     _, report = _run(spark, sf_dir)
     total = W.partitionBy("dataset")  # at most the categories of one request
-    return report.select(
-        "dataset", F.col("category").alias("document_type"), "target_share", "supply", "demand", "drawn",
+    got = report.select(
+        "dataset", F.col("category").alias("document_type"), "target_share", "min_rows", "supply", "demand", "drawn",
         (F.col("drawn") / F.nullif(F.sum("drawn").over(total), F.lit(0))).alias("drawn_share"), "short")
+    gap = F.col("drawn_share") - F.col("target_share")
+    cause = F.when(F.abs(gap) <= 0.005, None).when(F.col("drawn") >= F.col("supply"), "supply").when(F.col("drawn") <= F.col("min_rows"), "floor").otherwise("others")
+    return got.withColumn("share_gap", gap).withColumn("cause", cause)

@@ -41,6 +41,24 @@ def test_p1_shares_floors_and_shortfalls(spark):
     assert all(got[c]["drawn"] >= min(got[c]["min_rows"], got[c]["supply"]) for c in got)
 
 
+def test_p1_fill():
+    assert p1.fill([50, 40, 10], [0, 0, 0], [100, 100, 100]) == pytest.approx([50, 40, 10])
+    short = p1.fill([50, 40, 10], [0, 0, 0], [20, 100, 100])
+    assert short == pytest.approx([20, 64, 16]) and sum(short) == pytest.approx(100)
+    floor = p1.fill([90, 9, 1], [0, 0, 10], [500, 500, 500])
+    assert floor[2] == 10 and floor[0] / floor[1] == pytest.approx(10) and sum(floor) == pytest.approx(100)
+    assert p1.fill([50, 50], [5, 5], [3, 10]) == [3, 10] and p1.fill([0, 0], [0, 0], [5, 5]) == [0, 0] and p1.fill([0, 10], [3, 0], [1, 100]) == pytest.approx([1, 9])
+
+
+def test_p1_keeps_the_planned_size(spark):
+    frame = spark.createDataFrame([("d", f"s{i}", "a" if i < 600 else "b" if i < 990 else "c") for i in range(1000)], "dataset string, sample_id string, category string")
+    request = spark.createDataFrame([("d", "a", 0.5, 5, 0.2), ("d", "b", 0.4, 5, 0.2), ("d", "c", 0.1, 12, 0.2)], REQUEST)
+    sample, report = p1.sample_to_targets(frame, request, keep_size=True)
+    n = {r["category"]: r["count"] for r in sample.groupBy("category").count().collect()}
+    assert n["c"] == 10 and abs(n["a"] - 190 * 5 / 9) < 1.01 and abs(sum(n.values()) - 200) <= 1
+    assert {r["category"] for r in report.where("short").collect()} == {"c"}
+
+
 def test_p1_empty(spark):
     frame = spark.createDataFrame([], "dataset string, sample_id string, category string")
     sample, report = p1.sample_to_targets(frame, spark.createDataFrame([("d", "a", 1.0, 2, 0.5)], REQUEST))
