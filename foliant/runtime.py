@@ -35,11 +35,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (local tests) a folder of this process is used.
+    Only where the setting is absent and the master is local (tests) a folder of this process is used.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if not _OWN_DIRS:
         own = tempfile.mkdtemp(prefix="foliant-")
         _OWN_DIRS.append(own)
