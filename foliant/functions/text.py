@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,6 +47,16 @@ def nfc(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: t if t is None or t.isascii() or is_normalized("NFC", t) else normalize("NFC", t))
 
 
+def normalize_py(text: str) -> str:
+    """As :func:`normalize` with runs of blanks collapsed and the ends trimmed, for code that runs in Python."""
+    from unicodedata import category, normalize
+
+    v = normalize("NFC", text.replace("\u00a0", " "))
+    if not v.isascii() or any(c < " " for c in v):
+        v = "".join(c for c in v if c in "\n\t\r\u200c\u200d" or category(c) not in ("Cc", "Cf"))
+    return re.sub("[ \t]+", " ", v).strip()
+
+
 def normalize(c: Column, collapse: bool = True) -> Column:
     """No-break spaces to spaces, NFC, controls and formats dropped but for line ends,
     tabs and joiners; runs of blanks to one space if asked."""
@@ -100,14 +111,16 @@ def token_distance(a: list, b: list) -> int:
     return row[-1]
 
 
-@F.pandas_udf(T.DoubleType())
-def wer(prediction: pd.Series, reference: pd.Series) -> pd.Series:
+def _words_as_characters(tokens: Column, known: Column) -> Column:
+    """Each token as the one character of its place among the known tokens, so that built-ins for strings count tokens."""
+    return F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + 0xFFFF), 8, "0")), "UTF-32")), "")
+
+
+def wer(prediction: Column | str, reference: Column | str) -> Column:
     """Word error rate over whitespace tokens; conventions as for the character rate. Null counts as empty."""
-    out = []
-    for p, r in zip(prediction, reference, strict=True):
-        p, r = (p or "").split(), (r or "").split()
-        out.append(token_distance(p, r) / len(r) if r else float(bool(p)))
-    return pd.Series(out)
+    p, r = (F.filter(F.split(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), r"\s+"), lambda t: t != "") for c in (prediction, reference))
+    known = F.array_distinct(F.concat(p, r))
+    return F.when(F.size(r) == 0, F.when(F.size(p) == 0, 0.0).otherwise(1.0)).otherwise(edits(_words_as_characters(p, known), _words_as_characters(r, known)) / F.size(r))
 
 
 @F.pandas_udf(T.IntegerType())

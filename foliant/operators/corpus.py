@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -48,14 +49,15 @@ def merge(parts: list[DataFrame], key: str) -> tuple[DataFrame, DataFrame]:
 
 
 def overlap(train: DataFrame, held: DataFrame, keys: dict[str, str]) -> DataFrame:
-    """(name, n): distinct non-empty values of each key on both sides, in one pass over either side."""
-    def values(df):
+    """(name, n): distinct non-empty values of each key that both sides hold. One aggregation, combined before its only shuffle."""
+    def values(df, side):
         pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("string").alias("value")) for n, c in keys.items()])
-        return df.select(F.explode(pairs).alias("p")).select("p.*").where("value is not null and value <> ''").distinct()
+        return df.select(F.explode(pairs).alias("p"), F.lit(side).alias("side")).select("p.*", "side").where("value is not null and value <> ''")
 
-    found = values(train).join(values(held), ["name", "value"]).groupBy("name").agg(F.count("*").alias("n"))
+    both = values(train, 1).unionByName(values(held, 2)).groupBy("name", "value").agg(F.bit_or("side").alias("sides"))
+    found = both.groupBy("name").agg(F.count_if(F.col("sides") == 3).alias("n"))
     names = train.sparkSession.createDataFrame([(n,) for n in keys], "name string")
-    return names.join(found, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"))
+    return names.join(F.broadcast(found), "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"))  # one row a key
 
 
 def hash_rank(key: Column, salt: str) -> Column:
@@ -96,7 +98,30 @@ def stratified_split(df: DataFrame, key: str, stratum: str, ratio: float, salt:
     sizes = df.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_n"))
     take = F.when(F.col("_n") > 1, F.greatest(F.lit(1), F.bround(F.col("_n") * ratio).cast("long"))).otherwise(0)
     held = ranked.join(sizes, ranked[stratum].eqNullSafe(sizes["_s"])).select(key, (F.col("rank") <= take).alias("is_held"))
-    return df.join(held, key)
+    return df.join(held.groupBy(key).agg(F.max("is_held").alias("is_held")), key)  # a key that comes twice has one side
+
+
+def group_split(df: DataFrame, group: str, stratum: str, ratio: float, salt: str = "group") -> DataFrame:
+    """``df`` with is_held, the same for all rows of a group; of each stratum max(1, round(n * ratio)) groups are held, none of one alone.
+
+    A group belongs to the least of its rows' strata. Only groups are ranked, after they are combined.
+    """
+    groups = df.groupBy(group).agg(F.min(stratum).alias(stratum))
+    return df.join(stratified_split(groups, group, stratum, ratio, salt).select(group, "is_held"), group)
+
+
+def without_listed(df: DataFrame, text: str, listed: DataFrame, listed_text: str) -> DataFrame:
+    """Rows whose text is on no list; hashes meet, not texts. Empty texts of the list exclude nothing."""
+    out = listed.where(F.col(listed_text) != "").select(F.sha2(listed_text, 256).alias("_h")).distinct()
+    return df.withColumn("_h", F.sha2(text, 256)).join(out, "_h", "left_anti").drop("_h")
+
+
+def first_by_hash(df: DataFrame, by: str, fraction: float, least: int) -> DataFrame:
+    """is_held for the rows whose hash comes first: max(least, ceil(n * fraction)), but never all. Ranked over range partitions."""
+    n = df.count()
+    held = min(n - 1, max(least, math.ceil(n * fraction)))
+    ranked = rank_within(df.withColumn("_all", F.lit(0)), ["_all"], [by])
+    return ranked.withColumn("is_held", F.col("rank") <= held).drop("_all", "rank")
 
 
 def rebalance(df: DataFrame, key: str, stratum: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from statistics import median
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -125,23 +126,24 @@ def order_accuracy(items: DataFrame, group: str, reference: list[str], predicted
     return ordered.select(group, predicted).mapInPandas(run, f"{group} {kind}, n_items long, concordant long, accuracy double")
 
 
-def column_bands(boxes: list[tuple]) -> list[int]:
-    """Order of boxes (x, y, w, h) column by column: bands of x-centres around a running mean."""
-    widths = sorted(b[2] for b in boxes if b[2] > 0)
-    if not widths:
-        return list(range(len(boxes)))
-    m = len(widths) // 2
-    reach = 0.6 * (widths[m] if len(widths) % 2 else (widths[m - 1] + widths[m]) / 2)
-    bands: list[list] = []  # mean, members
-    for i, b in enumerate(boxes):
-        c = b[0] + b[2] / 2
-        band = next((x for x in bands if abs(x[0] - c) <= reach), None)
-        if band is None:
-            bands.append([c, [i]])
-        else:
-            band[1].append(i)
-            band[0] += (c - band[0]) / len(band[1])
-    return [i for _, members in sorted(bands, key=lambda x: x[0]) for i in sorted(members, key=lambda i: (boxes[i][1], boxes[i][0]))]
+def column_bands(boxes: list[tuple], fraction: float = 0.6) -> list[int]:
+    """Order of boxes (x, y, w, h) column by column: bands of x-centres, from left to right, around a running mean.
+
+    A box joins the first band whose mean is nearer than ``fraction`` of the median width. Within a band the
+    order is by y, x and place; so it is of all boxes where the median width is 0.
+    """
+    down = lambda i: (boxes[i][1], boxes[i][0], i)
+    width = median(b[2] for b in boxes) if boxes else 0
+    if width <= 0:
+        return sorted(range(len(boxes)), key=down)
+    bands: list[tuple[list[int], list[float]]] = []
+    for center, i in sorted((x + w / 2, i) for i, (x, _, w, _) in enumerate(boxes)):
+        found = next((b for b in bands if abs(center - sum(b[1]) / len(b[1])) < fraction * width), None)
+        if found is None:
+            bands.append(found := ([], []))
+        found[0].append(i)
+        found[1].append(center)
+    return [i for members, _ in sorted(bands, key=lambda b: sum(b[1]) / len(b[1])) for i in sorted(members, key=down)]
 
 
 def greedy_match(reference: list[tuple], predicted: list[tuple], least: float) -> list[tuple[int | None, int | None, float]]:

@@ -159,7 +159,7 @@ def test_concordant_pairs():
 def test_column_bands_and_rows():
     boxes = [(0, 0, 100, 20), (200, 0, 100, 20), (0, 30, 100, 20), (200, 32, 100, 20)]
     assert L.column_bands(boxes) == [0, 2, 1, 3]
-    assert L.column_bands([(5, 1, 0, 0), (4, 0, 0, 0)]) == [0, 1]
+    assert L.column_bands([(5, 1, 0, 0), (4, 0, 0, 0)]) == [1, 0]  # no widths: by y, then x
     assert L.merge_rows([(0, 0, 50, 20), (60, 2, 50, 20), (300, 0, 50, 20), (0, 50, 10, 10)]) == [[0, 1], [2], [3]]
 
 
@@ -171,7 +171,7 @@ def test_greedy_match_and_suppression():
 
 
 def test_tables():
-    assert B.normalize_grid([["a", "", "|", "a", "b"], ["c", "", "|", "c", "d"]]) == [["a", "b"], ["c", "d"]]
+    assert B.normalize_grid([["a", "", "—", "a", "b"], ["c", "", "_", "c", "d"]]) == [["a", "b"], ["c", "d"]]
     assert B.header_spans(["x", "x", "y"], ["1", "2", "3"]) == [(0, 2, "x"), (2, 1, "y")]
     assert B.header_spans(["x", "x"], ["1", "1"]) == [(0, 1, "x"), (1, 1, "x")]
     assert B.to_csv([["a,b", 'q"']]) == '"a,b","q"""'
