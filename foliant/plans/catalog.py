@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.plans import corpus_queries, result_queries, routing_queries  # noqa: F401
+from foliant.plans import audit_queries, bundle_queries, corpus_queries, result_queries, routing_queries, scoring_queries  # noqa: F401
 from foliant.plans.registry import QUERIES, SQL
 
 
