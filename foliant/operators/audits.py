@@ -131,9 +131,11 @@ def rule_issues(rules: DataFrame, no: str, source: str, target: str) -> DataFram
 
 def codepoint_ranges(ranges: Column) -> Column:
     """All code points of an array of ranges like ``U+0900-U+097F`` (or one point), as sorted integers; ranges that cannot be read are left out."""
-    ends = F.transform(ranges, lambda r: F.transform(F.split(F.upper(F.regexp_replace(r, r"\s|U\+|0X", "")), "-|–|\\.\\."), lambda x: F.try_element_at(F.array(F.conv(F.regexp_replace(x, "U\\+|0X", ""), 16, 10).cast("int")), F.lit(1))))
-    good = F.filter(ends, lambda e: (F.size(e) > 0) & F.get(e, F.lit(0)).isNotNull() & F.element_at(e, -1).isNotNull() & (F.get(e, F.lit(0)) <= F.element_at(e, -1)))
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(good, lambda e: F.sequence(F.get(e, F.lit(0)), F.element_at(e, -1))))))
+    ends = F.transform(ranges, lambda r: F.split(F.regexp_replace(F.upper(r), r"\s|U\+|0X", ""), r"-|–|\.\."))
+    good = F.filter(ends, lambda e: F.size(e).between(1, 2) & F.forall(e, lambda x: x.rlike("^[0-9A-F]{1,6}$")))
+    numbers = F.transform(good, lambda e: F.transform(e, lambda x: F.conv(x, 16, 10).cast("int")))
+    rising = F.filter(numbers, lambda e: F.get(e, F.lit(0)) <= F.element_at(e, -1))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(rising, lambda e: F.sequence(F.get(e, F.lit(0)), F.element_at(e, -1))))))
 
 
 def coverage(required: Column, held: Column) -> Column:
