@@ -51,16 +51,24 @@ SCRIPTS = {
 _EDGES = re.compile(r"^[^\w]+|[^\w]+$")
 
 
-def _script(c: str) -> str | None:
-    o = ord(c)
-    return next((n for n, ranges in SCRIPTS.items() if any(a <= o <= b for a, b in ranges)), None)
+class _Letters(dict):
+    """Script of each character that is a letter or a mark: None where no listed one, False for other characters."""
+
+    def __missing__(self, c: str) -> str | None | bool:
+        o = ord(c)
+        script = next((n for n, ranges in SCRIPTS.items() if any(a <= o <= b for a, b in ranges)), None)
+        self[c] = got = script if c.isalpha() or unicodedata.category(c)[0] == "M" or 0x11BC0 <= o <= 0x11BFF else False
+        return got
+
+
+_LETTERS = _Letters()
 
 
 def word_features(raw: str) -> np.ndarray:
     """Hashed features; none for a word without letters."""
-    letters = [c for c in raw if c.isalpha() or unicodedata.category(c)[0] == "M" or ord(c) >= 0x11BC0 and ord(c) <= 0x11BFF]
+    letters = [c for c in raw if _LETTERS[c] is not False]
     w = "".join(letters).lower()
-    names = [s for s in map(_script, letters) if s]
+    names = [s for s in map(_LETTERS.__getitem__, letters) if s]
     if not w or not names:
         return np.zeros(0, dtype=np.int64)
     script = max(set(names), key=names.count)
@@ -70,7 +78,7 @@ def word_features(raw: str) -> np.ndarray:
     f += [f"p{w[:n]}" for n in (1, 2, 3, 4) if len(w) >= n] + [f"e{w[-n:]}" for n in (1, 2, 3, 4, 5) if len(w) >= n]
     b = f"^{w}$"
     f += [f"g{b[i : i + 3]}" for i in range(len(b) - 2)]
-    return np.unique(np.array([zlib.crc32(x.encode()) % BUCKETS for x in f], dtype=np.int64))
+    return np.array(sorted({zlib.crc32(x.encode()) % BUCKETS for x in f}), dtype=np.int64)
 
 
 class Field:
@@ -110,6 +118,11 @@ class Field:
         return (fwd, pairs) if with_pairs else fwd
 
 
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts keys, and where each key's run begins in it; every key from 0 on occurs."""
+    return np.argsort(keys, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(keys))[:-1]])
+
+
 def train(texts: list[list[str]], labels: list[int], languages: list[str], scripts: dict[str, set[str]] | None = None, steps: int = STEPS, seed: int = 2) -> Field:
     """texts: words. A third of the sequences join two texts, so that switches are learned."""
     rng = np.random.RandomState(seed)
@@ -122,7 +135,7 @@ def train(texts: list[list[str]], labels: list[int], languages: list[str], scrip
             o = order[j - 1]
             w, y = w + texts[o], y + [labels[o]] * len(texts[o])
         seqs.append((w, y))
-    known = {w: word_features(w) for s, _ in seqs for w in s}
+    known = {w: word_features(w) for w in {w: None for s, _ in seqs for w in s}}
     # words without letters are no links of the chain
     seqs = [([w for w in s if len(known[w])], [x for w, x in zip(s, y, strict=True) if len(known[w])]) for s, y in seqs]
     seqs = sorted((s for s in seqs if s[0]), key=lambda s: -len(s[0]))
@@ -140,8 +153,14 @@ def train(texts: list[list[str]], labels: list[int], languages: list[str], scrip
     for i, (s, y) in enumerate(seqs):
         words[i, : len(s)], gold[i, : len(s)] = [vocabulary[w] for w in s], y
     total = mask.sum()
-    i_at, t_at = np.indices(gold.shape, sparse=True)
-    params = [np.zeros((len(used), k)), np.eye(k) * 2.0, np.zeros(k)]
+    # sums over the features of a word, the words of a feature and the places of a word, each as runs of one sorted list
+    by_word = np.cumsum(sizes) - sizes
+    by_col, of_col = _runs(cols)
+    places = words.T[mask.T]  # of the words in the order of the posteriors: place in the text, then text
+    by_place, of_word = _runs(places)
+    gold_at = np.flatnonzero(mask.T.ravel())
+    gold_y = gold.T[mask.T]
+    params = [np.zeros((len(used), k), dtype=np.float32), np.eye(k) * 2.0, np.zeros(k)]
     given = np.zeros_like(params[0])  # what the registry tells is not learned
     for script in SCRIPTS:
         bucket = zlib.crc32(f"s{script}".encode()) % BUCKETS
@@ -151,21 +170,18 @@ def train(texts: list[list[str]], labels: list[int], languages: list[str], scrip
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     empirical = np.zeros((k, k))
     np.add.at(empirical, (gold[:, :-1][mask[:, 1:]], gold[:, 1:][mask[:, 1:]]), 1)
+    first_gold = np.bincount(gold[:, 0], minlength=k)
     field = Field(languages, params[0], params[1], params[2])
     for step in range(1, steps + 1):
-        table = np.zeros((len(feats), k), dtype=np.float32)
-        for c in range(k):
-            table[:, c] = np.bincount(rows, (params[0] + given)[cols, c], minlength=len(feats))
+        table = np.add.reduceat((params[0] + given).take(cols, axis=0), by_word, axis=0)
         field.transitions, field.first = params[1], params[2]
-        post, pairs = field.posteriors(table[words], lengths, True)
-        diff = post.transpose(1, 0, 2).copy()
-        diff[i_at, t_at, gold] -= 1
-        diff[~mask] = 0
-        word_g = np.zeros((len(feats), k))
-        for c in range(k):
-            word_g[:, c] = np.bincount(words[mask], diff[:, :, c][mask], minlength=len(feats))
-        g0 = np.stack([np.bincount(cols, word_g[rows, c], minlength=len(used)) for c in range(k)], axis=1) / total * 1000 + 0.002 * params[0]
-        grads = [g0, (pairs - empirical) / total * 100 + 0.01 * (params[1] - np.eye(k)), diff[:, 0].sum(0) / len(seqs)]
+        post, pairs = field.posteriors(table.take(words, axis=0), lengths, True)
+        first_g = (post[0].sum(0) - first_gold) / len(seqs)
+        diff = post.reshape(-1, k).take(gold_at, axis=0)
+        diff[np.arange(len(diff)), gold_y] -= 1
+        word_g = np.add.reduceat(diff.take(by_place, axis=0), of_word, axis=0)
+        g0 = np.add.reduceat(word_g.take(rows[by_col], axis=0), of_col, axis=0) * (1000 / total) + 0.002 * params[0]
+        grads = [g0, (pairs - empirical) / total * 100 + 0.01 * (params[1] - np.eye(k)), first_g]
         for p, g, m in zip(params, grads, moments, strict=True):
             m[0] = 0.9 * m[0] + 0.1 * g
             m[1] = 0.98 * m[1] + 0.02 * g * g
