@@ -48,18 +48,23 @@ def merge(parts: list[DataFrame], key: str) -> tuple[DataFrame, DataFrame]:
     return union, duplicates(union, F.col(key))
 
 
-def overlap(train: DataFrame, held: DataFrame, keys: dict[str, str]) -> DataFrame:
-    """(name, n): distinct non-empty values of each key that both sides hold. One aggregation, combined before its only shuffle."""
-    def values(df, side):
-        pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("string").alias("value")) for n, c in keys.items()])
-        return df.select(F.explode(pairs).alias("p"), F.lit(side).alias("side")).select("p.*", "side").where("value is not null and value <> ''")
-
-    both = values(train, 1).unionByName(values(held, 2)).groupBy("name", "value").agg(F.bit_or("side").alias("sides"))
+def shared_values(df: DataFrame, is_train: Column, keys: dict[str, str]) -> DataFrame:
+    """(name, n): distinct non-empty values of each key that train and the other rows share. One scan, one aggregation, combined before its shuffle."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("string").alias("value")) for n, c in keys.items()])
+    long = df.select(F.when(is_train, 1).otherwise(2).alias("side"), F.explode(pairs).alias("p")).select("side", "p.*").where("value is not null and value <> ''")
+    both = long.groupBy("name", "value").agg(F.bit_or("side").alias("sides"))
     found = both.groupBy("name").agg(F.count_if(F.col("sides") == 3).alias("n"))
-    names = train.sparkSession.createDataFrame([(n,) for n in keys], "name string")
+    names = df.sparkSession.createDataFrame([(n,) for n in keys], "name string")
     return names.join(F.broadcast(found), "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"))  # one row a key
 
 
+def overlap(train: DataFrame, held: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """:func:`shared_values` of two tables that hold the keys' columns."""
+    columns = list(dict.fromkeys(keys.values()))
+    both = train.select(*columns, F.lit(True).alias("_is_train")).unionByName(held.select(*columns, F.lit(False).alias("_is_train")))
+    return shared_values(both, F.col("_is_train"), keys)
+
+
 def hash_rank(key: Column, salt: str) -> Column:
     return F.sha2(F.concat(F.lit(salt), key.cast("string")), 256)
 

@@ -57,6 +57,43 @@ def blocks(lines: DataFrame, page: list[str]) -> DataFrame:
     return lines.groupBy(*page, "block_no", "block_type").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n_lines"), texts.alias("t")).withColumn("text", F.array_join(F.transform("t", lambda x: x["text"]), "\n")).drop("t")
 
 
+def line_array(text: Column) -> Column:
+    """The lines that are not blank, with the geometry of :func:`text_lines` and is_table, as one array: a page stays one row."""
+    made = F.transform(F.split(text, "\n"), lambda t, i: F.struct(
+        i.alias("line_no"), t.alias("text"), F.lit(0.0).alias("x"), (i * LINE_STEP).alias("y"), F.greatest(F.lit(LEAST_WIDTH), F.length(t) * CHAR_WIDTH).alias("w"), F.lit(LINE_HEIGHT).alias("h"), looks_like_table_line(t).alias("is_table")))
+    return F.filter(made, lambda v: F.trim(v["text"]) != "")
+
+
+def order_array(lines: Column) -> Column:
+    """An array of lines in the reading order of :func:`reading_order`."""
+    hs = F.array_sort(F.filter(F.transform(lines, lambda v: v["h"]), lambda h: h > 0))
+    bucket = F.greatest(F.lit(8.0), 0.75 * F.coalesce(F.get(hs, F.floor(F.size(hs) / 2).cast("int")), F.lit(20.0)))
+    keyed = F.transform(lines, lambda v: F.struct(F.bround(v["y"] / bucket).alias("a"), v["x"].alias("b"), v["y"].alias("c"), v["line_no"].alias("d"), v.alias("line")))
+    return F.transform(F.array_sort(keyed), lambda k: k["line"])
+
+
+def block_arrays(df: DataFrame, lines: str, out: str) -> DataFrame:
+    """``df`` with ``out``: its ordered lines cut into blocks as by :func:`segment_blocks`; no shuffle. Rows without lines have no block."""
+    here, before = (lambda i: F.get(F.col(lines), i)), (lambda i: F.get(F.col(lines), i - 1))
+    wide = lambda i: here(i)["y"] - (before(i)["y"] + before(i)["h"]) > 1.5 * F.greatest(before(i)["h"], F.lit(24.0))
+    begins = lambda i: (i == 0) | (here(i)["is_table"] != before(i)["is_table"]) | (~here(i)["is_table"] & wide(i))
+    places = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
+    cut = df.withColumn("_at", F.filter(places, begins))
+    return cut.withColumn(out, F.transform("_at", lambda s, k: F.slice(F.col(lines), s + 1, F.coalesce(F.get("_at", k + 1), F.size(lines)) - s))).drop("_at")
+
+
+def block_kind(block: Column, no: Column) -> Column:
+    """title for one short line of text that is the first block, else table or text."""
+    first = F.get(block, F.lit(0))
+    title = (no == 0) & ~first["is_table"] & (F.size(block) == 1) & (F.length(first["text"]) <= 120)
+    return F.when(title, "title").when(first["is_table"], "table").otherwise("text")
+
+
+def tables_without_cells(blocks: Column) -> Column:
+    """How many of a page's table blocks consist of separator rows only."""
+    return F.size(F.filter(blocks, lambda b: F.get(b, F.lit(0))["is_table"] & F.forall(b, lambda v: v["text"].rlike(r"^[\s|:\-+]+$"))))
+
+
 def structure_faults(segmented: DataFrame, cells: DataFrame, page: list[str]) -> DataFrame:
     """(page, tables_without_cells, blocks_without_lines) of lines with their blocks; a block made of lines is never without."""
     held = cells.select(*page, "line_no").distinct().withColumn("held", F.lit(1))
@@ -189,19 +226,19 @@ def merge_rows(boxes: list[tuple], gap: float = 40.0, tolerance: float = 0.35) -
     return [sorted(m) for _, m in groups]
 
 
-def match_pages(reference: DataFrame, predicted: DataFrame, page: str, least: float = 0.5) -> DataFrame:
-    """(page, ref_line, pred_line, iou): full outer match of the lines of each page."""
-    def run(r: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        r, p = r.sort_values("line_no"), p.sort_values("line_no")
-        box = lambda d: list(zip(d.x, d.y, d.w, d.h, strict=True))
-        rl, pl = list(r.line_no), list(p.line_no)
-        got = greedy_match(box(r), box(p), least)
-        key = r[page].iloc[0] if len(r) else p[page].iloc[0]
-        return pd.DataFrame({page: key, "ref_line": pd.array([rl[i] if i is not None else None for i, _, _ in got], dtype="Int32"), "pred_line": pd.array([pl[j] if j is not None else None for _, j, _ in got], dtype="Int32"), "iou": [s for *_, s in got]})
+def match_pages(pages: DataFrame, page: str, reference: str, predicted: str, least: float = 0.5) -> DataFrame:
+    """(page, ref_line, pred_line, iou): full outer match of the two arrays of lines of each page; a map over rows, no shuffle."""
+    def run(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for rs, ps in it:
+            out = []
+            for r, p in zip(rs, ps, strict=True):
+                r, p = (x if x is not None else [] for x in (r, p))
+                found = greedy_match(*[[(v["x"], v["y"], v["w"], v["h"]) for v in side] for side in (r, p)], least)
+                out.append([{"ref_line": int(r[i]["line_no"]) if i is not None else None, "pred_line": int(p[j]["line_no"]) if j is not None else None, "iou": float(s)} for i, j, s in found])
+            yield pd.Series(out)
 
-    cols = [page, "line_no", "x", "y", "w", "h"]
-    kind = reference.schema[page].dataType.simpleString()
-    return reference.select(*[F.col(c).alias(c) for c in cols]).groupBy(page).cogroup(predicted.select(*[F.col(c).alias(c) for c in cols]).groupBy(page)).applyInPandas(run, f"{page} {kind}, ref_line int, pred_line int, iou double")
+    made = F.pandas_udf(run, "array<struct<ref_line:int,pred_line:int,iou:double>>")(F.col(reference), F.col(predicted))
+    return pages.select(page, F.explode(made).alias("_m")).select(page, "_m.*")
 
 
 def page_marker(text: Column, y: Column, w: Column, h: Column, width: float, height: float) -> Column:

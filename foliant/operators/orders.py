@@ -124,12 +124,12 @@ STATEFUL = {
 }
 
 
-def page_order(pages: DataFrame, key: str, boxes: str, mode: str, width: float) -> DataFrame:
-    """(key, order): for each page, whose boxes are one array of (x, y, w, h), the indices in reading order. A map over rows: no shuffle."""
+def page_order(pages: DataFrame, key: str, boxes: str, mode: str, width: float, keep: bool = False) -> DataFrame:
+    """(key, order), with the boxes if ``keep``: for each page, whose boxes are one array of (x, y, w, h), the indices in reading order. A map over rows: no shuffle."""
     place = STATEFUL[mode]
 
     def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in it:
             yield s.map(lambda page: place([(b["x"], b["y"], b["w"], b["h"]) for b in page], width) if page is not None else None)
 
-    return pages.select(key, F.pandas_udf(run, "array<int>")(F.col(boxes)).alias("order"))
+    return pages.select(key, *([boxes] if keep else []), F.pandas_udf(run, "array<int>")(F.col(boxes)).alias("order"))

@@ -95,7 +95,7 @@ def q_leakage_exact(spark, sf_dir):
     m = m.select("side", "sample_id", "image_path", F.lower("sha256").alias("image_sha256"), F.sha2("text", 256).alias("text_sha256"))
     m = m.withColumn("sample_signature", F.sha2(F.concat(F.coalesce("image_sha256", F.lit("")), F.lit("\n"), F.col("text_sha256")), 256))
     keys = {k: k for k in ("sample_id", "image_path", "image_sha256", "text_sha256", "sample_signature")}
-    return C.overlap(m.where("side = 'train'"), m.where("side <> 'train'"), keys)
+    return C.shared_values(m, F.col("side") == "train", keys)
 
 
 @query("select doc_id, substr(sha256('split' || doc_id::varchar), 1, 8) < '1999999a' as is_held from documents")
@@ -277,12 +277,15 @@ def q_slugs(spark, sf_dir):
     return read_table(spark, sf_dir, "part").select("p_partkey", X.slug(F.col("p_name")).alias("slug"))
 
 
-@query("select conversion_id, replacement_count as n_replaced, array_to_string(list_sort(unmapped_codepoints), ' ') as unmapped from limbu_conversion")
+@query(r"""
+select conversion_id, replacement_count as n_replaced, array_to_string(list_sort(unmapped_codepoints), ' ') as unmapped,
+  array_to_string(regexp_extract_all(nfc_normalize(unicode_text), '[\x{1900}-\x{194F}]'), '') as limbu from limbu_conversion
+""")
 def q_transcode(spark, sf_dir):
-    """Legacy text converted by the rules: replacements and unknown signs must be those on record."""
+    """Legacy text converted by the rules: replacements and unknown signs must be those on record, and so must the Limbu letters of the text in their order."""
     rules = [(r[0], r[1], r[2]) for r in read_table(spark, sf_dir, "legacy_rule").select("rule_no", "source_bytes", "target_codepoints").collect()]  # fixed, 42 rows
     got = Z.transcode(read_table(spark, sf_dir, "limbu_conversion"), "legacy_text", Z.compile_rules(rules))
-    return got.select("conversion_id", F.col("converted.n_replaced").alias("n_replaced"), F.array_join(F.array_sort("converted.unmapped"), " ").alias("unmapped"))
+    return got.select("conversion_id", F.col("converted.n_replaced").alias("n_replaced"), F.array_join(F.array_sort("converted.unmapped"), " ").alias("unmapped"), F.array_join(F.regexp_extract_all("converted.text", F.lit(X.LIMBU), F.lit(0)), "").alias("limbu"))
 
 
 @query("""
@@ -303,13 +306,20 @@ def q_rule_apply(spark, sf_dir):
 
 
 @query("""
+with language_registry as (select id, case when priority % 3 = 0 then ' ' else name end as name, case when priority % 4 = 1 then left(iso_639_3, 2) else iso_639_3 end as iso_639_3,
+  case when priority % 5 = 2 then [] else list_filter(aliases, lambda a: priority % 2 = 0 or a <> id) end as aliases, case when priority % 7 = 3 then [] else scripts end as scripts from main.language_registry)
 select id as language_id, unnest(list_filter([
   case when coalesce(trim(name), '') = '' then 'missing_name' end, case when length(coalesce(iso_639_3, '')) <> 3 then 'bad_iso' end,
   case when len(list_filter(scripts, lambda s: s.is_primary)) <> 1 then 'primary_scripts' end, case when len(aliases) = 0 then 'no_alias' end,
   case when not list_contains(aliases, id) then 'id_is_no_alias' end], lambda x: x is not null)) as code from language_registry
 """)
 def q_registry_audit(spark, sf_dir):
+    """The registry with defects put into some of its rows, and the codes of what is found."""
     g = read_table(spark, sf_dir, "language_registry")
+    n = F.col("priority")
+    g = g.select(
+        "id", F.when(n % 3 == 0, " ").otherwise(F.col("name")).alias("name"), F.when(n % 4 == 1, F.left("iso_639_3", F.lit(2))).otherwise(F.col("iso_639_3")).alias("iso_639_3"),
+        F.when(n % 5 == 2, F.array().cast("array<string>")).otherwise(F.filter("aliases", lambda a: (n % 2 == 0) | (a != F.col("id")))).alias("aliases"), F.when(n % 7 != 3, F.col("scripts")).otherwise(F.slice("scripts", 1, 0)).alias("scripts"))
     return R.issues(g.withColumnRenamed("id", "language_id"), ["language_id"], {
         "missing_name": F.coalesce(F.trim("name"), F.lit("")) == "", "bad_iso": F.length(F.coalesce("iso_639_3", F.lit(""))) != 3,
         "primary_scripts": F.size(F.filter("scripts", lambda s: s["is_primary"])) != 1, "no_alias": F.size("aliases") == 0, "id_is_no_alias": ~F.array_contains("aliases", F.col("language_id"))})

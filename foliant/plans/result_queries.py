@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from foliant.functions import text as X
 from foliant.operators import layout as L
+from foliant.operators import orders as O
 from foliant.operators import results as M
 from foliant.operators import review as R
 from foliant.operators import tables as B
@@ -153,7 +154,15 @@ def q_field_coverage(spark, sf_dir):
     return e.agg(F.count("*").alias("n"), *[F.count(c).alias(c) for c in held], *[F.count(F.nullif(c, F.lit(""))).alias(c) for c in ("reference_text", "prediction_text")], F.count_if("claim_eligible").alias("claim_eligible"))
 
 
-@query()
+_CER = r"""
+with f as (select eval_id, ocr_output_kind, trim(regexp_replace(nfc_normalize(coalesce(prediction_text, '')), '\s+', ' ', 'g'), ' ') as p, trim(regexp_replace(nfc_normalize(coalesce(reference_text, '')), '\s+', ' ', 'g'), ' ') as r from page_eval),
+s as (select *, array_to_string(list_distinct(string_split(p || r, '')), '') as cs from f), a as (select array_to_string(list_transform(range(1, 127), lambda i: chr(i::int)), '') as al),
+d as (select s.eval_id, ocr_output_kind, length(r) as n, levenshtein(translate(p, cs, substr(al, 1, length(cs))), translate(r, cs, substr(al, 1, length(cs)))) as e from s, a),
+c as (select eval_id, ocr_output_kind, n, e, case when n = 0 then case when e = 0 then 0.0 else 1.0 end else e / n end as cer from d)
+"""
+
+
+@query(_CER + "select eval_id, n::int as n_reference, e::int as edits, cer::double as cer from c")
 def q_page_cer(spark, sf_dir):
     """Character error rate of every page, over normalised texts."""
     e = read_table(spark, sf_dir, "page_eval")
@@ -162,7 +171,7 @@ def q_page_cer(spark, sf_dir):
     return e.select("eval_id", F.length("r").alias("n_reference"), X.edits(F.col("p"), F.col("r")).alias("edits"), X.cer(F.col("p"), F.col("r")).alias("cer"))
 
 
-@query()
+@query(_CER + "select ocr_output_kind, count(*) as n_pages, sum(e)::double / greatest(sum(n), 1) as micro_cer, avg(cer)::double as macro_cer from c group by 1")
 def q_micro_cer(spark, sf_dir):
     """Micro rate (edits over lengths) beside the macro mean, per system."""
     e = read_table(spark, sf_dir, "page_eval").select("eval_id", "ocr_output_kind")
@@ -201,13 +210,18 @@ def q_bag_scores(spark, sf_dir):
     return got.select("eval_id", "matched", "n_predicted", "n_reference", F.round("f1", 6).alias("f1"))
 
 
-@query()
+@query(_LONG + """, w as (select sample_id, ocr_output_kind as k, metric, arg_max(value, eval_id) as v from l group by 1, 2, 3),
+p as (select c.metric, c.v as c, b.v as b from w c join w b on c.sample_id = b.sample_id and c.metric = b.metric and c.k = 'recognizer_b' and b.k = 'recognizer_a'),
+o as (select metric, count(*) as n_pairs, count_if(c > b)::bigint as wins, count_if(c < b)::bigint as losses, avg(c) - avg(b) as gain from p group by 1)
+select metric, n_pairs, wins, losses, array_to_string(list_filter([case when n_pairs < 30 then 'min_pairs' end, case when gain < 0 then 'min_absolute' end, case when not coalesce(wins / (wins + losses) >= 0.5, false) then 'min_win_rate' end], lambda x: x is not null), ',') as failed,
+  n_pairs >= 30 and gain >= 0 and coalesce(wins / (wins + losses) >= 0.5, false) as passed,
+  round(case when wins + losses > 0 then list_sum(list_transform(range(wins, wins + losses + 1), lambda i: exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2)))) end, 6) as p_value from o""")
 def q_gates(spark, sf_dir):
     """Gates over every metric of the paired comparison, with the sign test."""
     one = M.last_row_wins(_long(spark, sf_dir), ["sample_id", "ocr_output_kind", "metric"], "value", "eval_id").withColumn("key", F.struct("sample_id", "metric"))
     pairs = M.paired(one, "key", "ocr_output_kind", "value", "recognizer_b", "recognizer_a").withColumn("metric", F.col("key.metric"))
     got = M.gates(M.outcomes(pairs, False, ["metric"]), min_pairs=30, min_absolute=0.0, min_win_rate=0.5)
-    return got.select("metric", "n_pairs", "wins", "losses", "passed", "failed", M.sign_test("wins", "losses").alias("p_value"))
+    return got.select("metric", "n_pairs", "wins", "losses", "passed", "failed", F.round(M.sign_test("wins", "losses"), 6).alias("p_value"))
 
 
 @query()
@@ -276,9 +290,10 @@ def q_order_accuracy(spark, sf_dir):
     return L.order_accuracy(read_table(spark, sf_dir, "limbu_conversion"), "sample_id", ["block_index", "line_index", "span_index"], "conversion_id").select("sample_id", "n_items", "concordant")
 
 
-def _document_lines(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents").where("text is not null")
-    return L.reading_order(L.text_lines(d, "doc_id", "text"), ["doc_id"])
+def _document_blocks(spark, sf_dir):
+    """doc_id and the blocks of each document, from one scan and without a shuffle."""
+    d = read_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", L.line_array(F.col("text")).alias("_lines"))
+    return L.block_arrays(d.select("doc_id", L.order_array(F.col("_lines")).alias("lines")), "lines", "blocks")
 
 
 _LINES = r"""
@@ -292,43 +307,48 @@ b as (select *, sum(starts) over (partition by doc_id order by order_no) - 1 as
 
 @query(_LINES + "select doc_id, line_no::int as line_no, order_no::int as order_no, block_no::bigint as block_no from b")
 def q_segment_blocks(spark, sf_dir):
-    return L.segment_blocks(_document_lines(spark, sf_dir), ["doc_id"]).select("doc_id", "line_no", "order_no", "block_no")
+    got = _document_blocks(spark, sf_dir).select("doc_id", F.posexplode(F.flatten(F.transform("blocks", lambda b, k: F.transform(b, lambda v: F.struct(v["line_no"].alias("line_no"), k.cast("long").alias("block_no")))))).alias("order_no", "v"))
+    return got.select("doc_id", "v.line_no", "order_no", "v.block_no")
 
 
 @query(_LINES + """, k as (select doc_id, block_no, count(*) as n_lines, string_agg(text, chr(10) order by order_no) as text, bool_and(is_table) as is_table from b group by 1, 2)
 select doc_id, block_no::bigint as block_no, case when is_table then 'table' when block_no = 0 and n_lines = 1 and length(text) <= 120 then 'title' else 'text' end as block_type, n_lines, text from k""")
 def q_blocks(spark, sf_dir):
-    got = L.blocks(L.segment_blocks(_document_lines(spark, sf_dir), ["doc_id"]), ["doc_id"])
-    return got.select("doc_id", "block_no", "block_type", "n_lines", "text")
+    got = _document_blocks(spark, sf_dir).select("doc_id", F.posexplode("blocks").alias("block_no", "b"))
+    return got.select(
+        "doc_id", F.col("block_no").cast("long").alias("block_no"), L.block_kind(F.col("b"), F.col("block_no")).alias("block_type"), F.size("b").cast("long").alias("n_lines"),
+        F.array_join(F.transform("b", lambda v: v["text"]), "\n").alias("text"))
 
 
-@query(_LINES + "select doc_id, count(*) as n_lines, 1.0::double as avg_confidence, 1.0::double as quality_score from l group by 1")
+@query(_LINES + r""", f0 as (select doc_id, block_no, bool_and(is_table) as is_table, bool_and(regexp_matches(text, '^[\s|:\-+]+$')) as bare from b group by 1, 2), f as (select doc_id, count_if(is_table and bare) as n_bare from f0 group by 1),
+c as (select doc_id, text, case when length(text) % 7 = 0 then null when length(text) % 5 = 0 then 0.3 else 1.0 end::double as conf from l0),
+q as (select doc_id, count(*) as n_lines, count_if(conf < 0.5) as n_low, count_if(conf is null) as n_missing, count_if(trim(text, ' ') = '') as n_empty, coalesce(avg(conf), 0) as avg_confidence from c group by 1)
+select q.doc_id, n_lines, round(avg_confidence, 6) as avg_confidence, round(greatest(0, least(1, 1 - (0.35 * coalesce(n_low, 0) / n_lines + 0.2 * n_missing / n_lines + 0.2 * n_empty / n_lines + 0.2 * greatest(0.0, 0.95 - avg_confidence) + least(0.15, 0.05 * coalesce(f.n_bare, 0))))), 6) as quality_score
+from q left join f on f.doc_id = q.doc_id""")
 def q_doc_quality(spark, sf_dir):
-    lines = L.text_lines(read_table(spark, sf_dir, "documents").where("text is not null"), "doc_id", "text")
-    faults = L.structure_faults(L.segment_blocks(_document_lines(spark, sf_dir), ["doc_id"]), B.cells(lines, "doc_id"), ["doc_id"])
-    return L.page_quality(lines, ["doc_id"], faults=faults).select("doc_id", "n_lines", "avg_confidence", "quality_score")
+    """Quality of documents whose lines, blank ones included, have confidences that vary or lack."""
+    d = read_table(spark, sf_dir, "documents").where("text is not null")
+    lines = d.select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
+    lines = lines.withColumn("confidence", F.when(F.length("text") % 7 == 0, None).when(F.length("text") % 5 == 0, 0.3).otherwise(1.0))
+    faults = _document_blocks(spark, sf_dir).select("doc_id", L.tables_without_cells(F.col("blocks")).alias("tables_without_cells"), F.lit(0).alias("blocks_without_lines"))
+    got = L.page_quality(lines, ["doc_id"], faults=faults)
+    return got.select("doc_id", "n_lines", F.round("avg_confidence", 6).alias("avg_confidence"), "quality_score")
 
 
 @query()
 def q_line_match(spark, sf_dir):
     """Lines of prediction and reference matched one to one by their boxes, per page."""
     e = read_table(spark, sf_dir, "page_eval")
-    side = lambda c: L.text_lines(e.where(F.col(c).isNotNull()), "eval_id", c)
-    return L.match_pages(side("reference_text"), side("prediction_text"), "eval_id")
+    return L.match_pages(e.select("eval_id", L.line_array(F.col("reference_text")).alias("r"), L.line_array(F.col("prediction_text")).alias("p")), "eval_id", "r", "p")
 
 
 @query()
 def q_column_major(spark, sf_dir):
-    """Lines in column-major order, with every other line set into a second column."""
-    lines = L.text_lines(read_table(spark, sf_dir, "page_eval").where("prediction_text is not null"), "eval_id", "prediction_text")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no")
-        boxes = [((n % 2) * 2000.0, y, w, h) for n, y, w, h in zip(pdf.line_no, pdf.y, pdf.w, pdf.h, strict=True)]
-        order = L.column_bands(boxes)
-        return pd.DataFrame({"eval_id": pdf.eval_id.iloc[0], "line_no": [int(pdf.line_no.iloc[i]) for i in order], "position": range(len(order))})
-
-    return lines.groupBy("eval_id").applyInPandas(run, "eval_id long, line_no int, position int")
+    """Lines in column-major order, with every other line set into a second column; a map over pages."""
+    e = read_table(spark, sf_dir, "page_eval").where("prediction_text is not null").select("eval_id", L.line_array(F.col("prediction_text")).alias("lines"))
+    boxes = F.transform("lines", lambda v: F.struct(((v["line_no"] % 2) * 2000.0).alias("x"), v["y"].alias("y"), v["w"].alias("w"), v["h"].alias("h"), v["line_no"].alias("line_no")))
+    got = O.page_order(e.select("eval_id", boxes.alias("boxes")), "eval_id", "boxes", "column_bands", 4000.0, keep=True)
+    return got.select("eval_id", F.posexplode(F.transform("order", lambda i: F.get("boxes", i)["line_no"])).alias("position", "line_no"))
 
 
 @query()

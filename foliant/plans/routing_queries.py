@@ -17,10 +17,13 @@ from foliant.sources import sinks as K
 
 
 @query("""
-select source, count(*) as n from documents where text is not null and sha256(text) in (select sha256(text) from synthesis_text where text <> '') group by 1
+with b as (select text from synthesis_text union all select text from documents where doc_id % 50 = 0)
+select source, count(*) as n from documents where text is not null and sha256(text) in (select sha256(text) from b where text <> '') group by 1
 """)
 def q_blocklist_overlap(spark, sf_dir):
-    return O.blocked(read_table(spark, sf_dir, "documents"), "text", read_table(spark, sf_dir, "synthesis_text"), "text", ["source"])
+    """Documents on a blocklist of the synthesis texts and some of the documents themselves, copies included."""
+    d = read_table(spark, sf_dir, "documents")
+    return O.blocked(d, "text", read_table(spark, sf_dir, "synthesis_text").select("text").unionByName(d.where("doc_id % 50 = 0").select("text")), "text", ["source"])
 
 
 @query("""
@@ -74,13 +77,14 @@ def q_block_order(spark, sf_dir):
 
 @query("""
 with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null)
-select doc_id, string_agg(t, chr(10) || chr(10) order by i) || chr(10) as markdown from l where trim(t, ' ') <> '' group by 1
+select doc_id, string_agg(case when i = 1 and length(t) <= 120 then '# ' || t else t end, chr(10) || chr(10) order by i) || chr(10) as markdown from l where trim(t, ' ') <> '' group by 1
 """)
 def q_page_markdown(spark, sf_dir):
-    """Markdown of documents whose lines are blocks of text."""
-    lines = L.text_lines(read_table(spark, sf_dir, "documents").where("text is not null"), "doc_id", "text")
-    blocks = F.collect_list(F.struct(F.col("line_no").alias("order"), F.lit("text").alias("block_type"), F.col("text")))  # bounded by the page
-    return lines.groupBy("doc_id").agg(blocks.alias("b")).select("doc_id", K.page_markdown(F.col("b")).alias("markdown"))
+    """Markdown of documents whose lines are blocks, a short first line being the title; a page is one row throughout."""
+    d = read_table(spark, sf_dir, "documents").where("text is not null")
+    kind = lambda v: F.when((v["line_no"] == 0) & (F.length(v["text"]) <= 120), "title").otherwise("text")
+    blocks = F.transform(L.line_array(F.col("text")), lambda v: F.struct(v["line_no"].alias("order"), kind(v).alias("block_type"), v["text"].alias("text")))
+    return d.select("doc_id", blocks.alias("b")).where("size(b) > 0").select("doc_id", K.page_markdown(F.col("b")).alias("markdown"))
 
 
 @query("""
