@@ -291,7 +291,10 @@ def q_order_accuracy(spark, sf_dir):
 
 
 def _document_blocks(spark, sf_dir):
-    """doc_id and the blocks of each document, from one scan and without a shuffle."""
+    """doc_id and the blocks of each document, from one scan and without a shuffle.
+
+    Explode them by the outer form: the inner one infers a filter on their number, which would compute the lines again for each line.
+    """
     d = read_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", L.line_array(F.col("text")).alias("_lines"))
     return L.block_arrays(d.select("doc_id", L.order_array(F.col("_lines")).alias("lines")), "lines", "blocks")
 
@@ -307,14 +310,14 @@ b as (select *, sum(starts) over (partition by doc_id order by order_no) - 1 as
 
 @query(_LINES + "select doc_id, line_no::int as line_no, order_no::int as order_no, block_no::bigint as block_no from b")
 def q_segment_blocks(spark, sf_dir):
-    got = _document_blocks(spark, sf_dir).select("doc_id", F.posexplode(F.flatten(F.transform("blocks", lambda b, k: F.transform(b, lambda v: F.struct(v["line_no"].alias("line_no"), k.cast("long").alias("block_no")))))).alias("order_no", "v"))
-    return got.select("doc_id", "v.line_no", "order_no", "v.block_no")
+    got = _document_blocks(spark, sf_dir).select("doc_id", F.posexplode_outer(F.flatten(F.transform("blocks", lambda b, k: F.transform(b, lambda v: F.struct(v["line_no"].alias("line_no"), k.cast("long").alias("block_no")))))).alias("order_no", "v"))
+    return got.where("v is not null").select("doc_id", "v.line_no", "order_no", "v.block_no")
 
 
 @query(_LINES + """, k as (select doc_id, block_no, count(*) as n_lines, string_agg(text, chr(10) order by order_no) as text, bool_and(is_table) as is_table from b group by 1, 2)
 select doc_id, block_no::bigint as block_no, case when is_table then 'table' when block_no = 0 and n_lines = 1 and length(text) <= 120 then 'title' else 'text' end as block_type, n_lines, text from k""")
 def q_blocks(spark, sf_dir):
-    got = _document_blocks(spark, sf_dir).select("doc_id", F.posexplode("blocks").alias("block_no", "b"))
+    got = _document_blocks(spark, sf_dir).select("doc_id", F.posexplode_outer("blocks").alias("block_no", "b")).where("b is not null")
     return got.select(
         "doc_id", F.col("block_no").cast("long").alias("block_no"), L.block_kind(F.col("b"), F.col("block_no")).alias("block_type"), F.size("b").cast("long").alias("n_lines"),
         F.array_join(F.transform("b", lambda v: v["text"]), "\n").alias("text"))
