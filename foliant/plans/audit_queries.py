@@ -19,7 +19,7 @@ o as (select metric, count(*) as n, count_if(c > b) as wins, count_if(c < b) as
 g as (select metric, unnest([{'gate': 'min_pairs', 'observed': n::double, 'threshold': 30.0, 'up': true}, {'gate': 'min_absolute_improvement', 'observed': cm - bm, 'threshold': 0.0, 'up': true},
   {'gate': 'min_win_rate', 'observed': case when wins + losses > 0 then wins::double / (wins + losses) end, 'threshold': 0.5, 'up': true}, {'gate': 'max_losses', 'observed': losses::double, 'threshold': 100.0, 'up': false},
   {'gate': 'min_candidate_mean', 'observed': cm, 'threshold': 0.2, 'up': true}]) as g from o),
-r as (select metric, g.gate as gate, round(g.observed, 6) as observed, g.threshold::double as threshold, coalesce(case when g.up then g.observed >= g.threshold else g.observed <= g.threshold end, false) as passed from g)
+r as (select metric, g.gate as gate, round(g.observed, 5) as observed, g.threshold::double as threshold, coalesce(case when g.up then g.observed >= g.threshold else g.observed <= g.threshold end, false) as passed from g)
 """
 _THRESHOLDS = {"min_pairs": 30, "min_absolute_improvement": 0.0, "min_win_rate": 0.5, "max_losses": 100, "min_candidate_mean": 0.2}
 
@@ -34,7 +34,7 @@ def _gate_rows(spark, sf_dir):
 @query(_OUTCOMES + "select * from r")
 def q_claim_gates(spark, sf_dir):
     """Every gate of every metric of a paired comparison: observed value, threshold and result."""
-    return _gate_rows(spark, sf_dir).withColumn("observed", F.round("observed", 6))
+    return _gate_rows(spark, sf_dir).withColumn("observed", F.round("observed", 5))
 
 
 @query(_OUTCOMES + "select metric, coalesce(string_agg(gate, ',' order by gate) filter (where not passed), '') as failed, bool_and(passed) as admitted from r group by 1")
@@ -110,12 +110,12 @@ def q_reference_audit(spark, sf_dir):
 
 
 @query(r"""
-with c as (select conversion_id, limbu_char_count, len(regexp_extract_all(coalesce(unicode_text, ''), '[\x{1900}-\x{194F}]'))::int as again from limbu_conversion)
+with c as (select conversion_id, (limbu_char_count + case when conversion_id % 50 = 0 then 1 else 0 end)::int as limbu_char_count, len(regexp_extract_all(coalesce(unicode_text, ''), '[\x{1900}-\x{194F}]'))::int as again from limbu_conversion)
 select conversion_id, 'limbu_char_count' as field, limbu_char_count::varchar as stored, again::varchar as computed from c where limbu_char_count is distinct from again
 """)
 def q_replay_audit(spark, sf_dir):
-    """Stored counts that differ from what is counted again in the stored text."""
-    c = read_table(spark, sf_dir, "limbu_conversion")
+    """Stored counts, one in fifty of them put wrong, that differ from what is counted again in the stored text."""
+    c = read_table(spark, sf_dir, "limbu_conversion").withColumn("limbu_char_count", F.col("limbu_char_count") + F.when(F.col("conversion_id") % 50 == 0, 1).otherwise(0))
     return A.replay(c, ["conversion_id"], {"limbu_char_count": X.char_count(F.col("unicode_text"), X.LIMBU)})
 
 
@@ -203,12 +203,12 @@ def q_router_collapse(spark, sf_dir):
 
 @query("""
 with m as (select row_id, lower(array_to_string(list_sort(map_values(metadata)), ' ')) as t, trim(metadata['degradation'], ' ') as d from manifest where metadata is not null)
-select row_id, array_to_string(list_filter([case when contains(t, 'synthetic') and d = 'scan' then 'synthetic_scan' end, case when contains(t, 'page') and d is null then 'page_without_degradation' end], lambda x: x is not null), ',') as claims from m
-where (contains(t, 'synthetic') and d = 'scan') or (contains(t, 'page') and d is null)
+select row_id, array_to_string(list_filter([case when contains(t, 'line') and d = 'scan' then 'line_scan' end, case when contains(t, 'page') and d is null then 'page_without_degradation' end], lambda x: x is not null), ',') as claims from m
+where (contains(t, 'line') and d = 'scan') or (contains(t, 'page') and d is null)
 """)
 def q_contradictions(spark, sf_dir):
     """Rows whose provenance texts speak against a field."""
     m = read_table(spark, sf_dir, "manifest").where("metadata is not null")
     d = F.trim(F.col("metadata")["degradation"])
-    found = A.contradictions(F.col("metadata"), {"synthetic_scan": ("synthetic", d == "scan"), "page_without_degradation": ("page", d.isNull())})
+    found = A.contradictions(F.col("metadata"), {"line_scan": ("line", d == "scan"), "page_without_degradation": ("page", d.isNull())})
     return m.select("row_id", F.array_join(found, ",").alias("claims")).where("claims <> ''")
