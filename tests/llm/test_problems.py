@@ -336,6 +336,42 @@ def test_p6_segment_join_is_complete(alphabet):
     assert got == wanted
 
 
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefgh", "कखगघ ङ"])
+def test_p6_long_texts_are_cut_piecewise(alphabet):
+    rng = random.Random(len(alphabet))
+    held = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1100, 2600))) for _ in range(6)]
+    train = [_edit(rng, t, len(t) // 12) for t in held] + ["".join(rng.choice(alphabet) for _ in range(1500))]
+    for others in (None, train, held[:1]):  # what the segments are chosen by does not alter what is found
+        got = {(i, j) for i, j, _ in p6.Block(held, others).match(train)}
+        assert {(i, i) for i in range(6)} <= got
+
+
+def test_p6_rarest_segments_are_disjoint_and_cheapest():
+    rng = np.random.RandomState(0)
+    cost = rng.randint(1, 9, (9, 5)).astype(np.float32)
+    weights = np.array([1, 3, 1], dtype=np.float32)
+    got = p6.rarest(cost, 3, 2, weights)
+    assert (np.diff(got, axis=1) >= 2).all()
+    for n in range(5):
+        best = min(sum(w * cost[i, n] for w, i in zip(weights, c, strict=True)) for c in itertools.combinations(range(9), 3) if c[1] - c[0] >= 2 and c[2] - c[1] >= 2)
+        assert sum(w * cost[i, n] for w, i in zip(weights, got[n], strict=True)) == best
+
+
+@pytest.mark.parametrize("queries", [1, 300, 10**6])
+def test_p6_blocks_cover_all_pairs_in_reach(queries):
+    rng = random.Random(queries)
+    held, train = ({(z, rng.randint(9, 400)): rng.randint(1, 5) for z in "DL" for _ in range(40)} for _ in range(2))
+    e, t, cells = p6.plan_blocks(held, train, queries, 500)
+    assert len({(z, n) for z, n, *_ in e}) == len(e)
+    first = {(z, n): f for z, n, f, _, _ in e}
+    visits = {(z, n, f) for z, n, f, _, _ in t}
+    for z, a in held:
+        for y, b in train:
+            if z == y and abs(a - b) <= max(a, b) // 10:
+                assert (y, b, first[z, a]) in visits
+    assert all(f + s * p <= cells for _, _, f, s, p in e + t)
+
+
 def test_p6_banded_distance():
     rng = random.Random(5)
     a = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 30))) for _ in range(200)]
