@@ -89,10 +89,15 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: inside another lambda a plain expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def edits(a: Column, b: Column, band: int = 64) -> Column:
     """Edit distance; most texts are near each other, so a band is tried before the whole table."""
-    near = F.levenshtein(a, b, band)
-    return F.when(near >= 0, near).otherwise(F.levenshtein(a, b))
+    tried = F.struct(a.alias("a"), b.alias("b"), F.levenshtein(a, b, band).alias("near"))
+    return let(tried, lambda s: F.when(s["near"] >= 0, s["near"]).otherwise(F.levenshtein(s["a"], s["b"])))
 
 
 def cer(prediction: Column, reference: Column) -> Column:
@@ -111,16 +116,24 @@ def token_distance(a: list, b: list) -> int:
     return row[-1]
 
 
-def _words_as_characters(tokens: Column, known: Column) -> Column:
-    """Each token as the one character of its place among the known tokens, so that built-ins for strings count tokens."""
-    return F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + 0xFFFF), 8, "0")), "UTF-32")), "")
+def wer(prediction: Column | str, reference: Column | str) -> Column:
+    """Word error rate over whitespace tokens; conventions as for the character rate. Null counts as empty.
 
+    Each token becomes the one character of its place among the pair's tokens, so that the built-in for strings counts tokens.
+    """
+    def words(c: Column | str) -> Column:
+        return F.filter(F.split(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), r"\s+"), lambda t: t != "")
 
-def wer(prediction: Column | str, reference: Column | str) -> Column:
-    """Word error rate over whitespace tokens; conventions as for the character rate. Null counts as empty."""
-    p, r = (F.filter(F.split(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), r"\s+"), lambda t: t != "") for c in (prediction, reference))
-    known = F.array_distinct(F.concat(p, r))
-    return F.when(F.size(r) == 0, F.when(F.size(p) == 0, 0.0).otherwise(1.0)).otherwise(edits(_words_as_characters(p, known), _words_as_characters(r, known)) / F.size(r))
+    def characters(tokens: Column, known: Column) -> Column:
+        return F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + 0xFFFF), 8, "0")), "UTF-32")), "")
+
+    def rate(s: Column) -> Column:
+        return F.when(s["n"] == 0, F.when(s["p"] == "", 0.0).otherwise(1.0)).otherwise(edits(s["p"], s["r"]) / s["n"])
+
+    pair = F.struct(words(prediction).alias("p"), words(reference).alias("r"))
+    known = let(pair, lambda s: F.struct(s["p"].alias("p"), s["r"].alias("r"), F.array_distinct(F.concat(s["p"], s["r"])).alias("k")))
+    coded = let(known, lambda s: F.struct(characters(s["p"], s["k"]).alias("p"), characters(s["r"], s["k"]).alias("r"), F.size(s["r"]).alias("n")))
+    return let(coded, rate)
 
 
 @F.pandas_udf(T.IntegerType())

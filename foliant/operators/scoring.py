@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.functions.geometry import iou_py
-from foliant.functions.text import cer, normalize_py, token_distance, wer
+from foliant.functions.text import cer, let, normalize_py, token_distance, wer
 from foliant.operators.layout import concordant_pairs
 
 #: A cell of a table: row, column, rowspan, colspan, text.
@@ -243,17 +243,23 @@ def score_documents(predicted: DataFrame, reference: DataFrame, key: str) -> Dat
         F.when(has_order, order_scores(F.col("p.reading_order"), F.col("r.reading_order"))).alias("order"),
         F.when(has_tables, document_table_scores(F.col("p.tables"), F.col("r.tables"))).alias("t"),
         F.when(has_figures, figure_scores(F.col("p.figures"), F.col("r.figures"))).alias("f"))
-    similar = F.when(F.col("has_markdown"), F.greatest(F.lit(0.0), 1 - F.col("m_cer")))
-    whole = F.when(F.col("has_markdown"), F.least(similar, "order", F.least("t.f1", "t.tree_text"), "f.f1", F.greatest(F.lit(0.0), 1 - F.col("f.caption_cer"))))
-    metrics: dict[str, Column] = {
-        "cer": F.when(F.col("has_text"), F.col("cer")), "wer": F.when(F.col("has_text"), F.col("wer")), "reading_order_pair_accuracy": F.col("order"),
-        "document_reconstruction_cer": F.when(F.col("has_markdown"), F.col("m_cer")), "document_reconstruction_wer": F.when(F.col("has_markdown"), F.col("m_wer")),
-        "document_reconstruction_text_similarity": similar, "document_reconstruction_similarity": whole,
-        "table_cell_precision": F.col("t.precision"), "table_cell_recall": F.col("t.recall"), "table_cell_f1": F.col("t.f1"), "table_exact_match": F.col("t.exact"),
-        "table_structure_similarity": F.col("t.structure"), "table_teds_structure": F.col("t.tree"), "table_teds_text": F.col("t.tree_text"),
-        "figure_detection_precision": F.col("f.precision"), "figure_detection_recall": F.col("f.recall"), "figure_detection_f1": F.col("f.f1"), "figure_caption_cer": F.col("f.caption_cer")}
-    held = F.map_from_entries(F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(n).alias("metric"), c.cast("double").alias("value"))) for n, c in metrics.items()])))
-    return got.select(key, held.alias("metrics"))
+
+    def all_metrics(v: Column) -> Column:
+        similar = F.when(v["has_markdown"], F.greatest(F.lit(0.0), 1 - v["m_cer"]))
+        t, f = v["t"], v["f"]
+        whole = F.when(v["has_markdown"], F.least(similar, v["order"], F.least(t["f1"], t["tree_text"]), f["f1"], F.greatest(F.lit(0.0), 1 - f["caption_cer"])))
+        metrics: dict[str, Column] = {
+            "cer": F.when(v["has_text"], v["cer"]), "wer": F.when(v["has_text"], v["wer"]), "reading_order_pair_accuracy": v["order"],
+            "document_reconstruction_cer": F.when(v["has_markdown"], v["m_cer"]), "document_reconstruction_wer": F.when(v["has_markdown"], v["m_wer"]),
+            "document_reconstruction_text_similarity": similar, "document_reconstruction_similarity": whole,
+            "table_cell_precision": t["precision"], "table_cell_recall": t["recall"], "table_cell_f1": t["f1"], "table_exact_match": t["exact"],
+            "table_structure_similarity": t["structure"], "table_teds_structure": t["tree"], "table_teds_text": t["tree_text"],
+            "figure_detection_precision": f["precision"], "figure_detection_recall": f["recall"], "figure_detection_f1": f["f1"], "figure_caption_cer": f["caption_cer"]}
+        entries = F.array(*[F.struct(F.lit(n).alias("metric"), c.cast("double").alias("value")) for n, c in metrics.items()])
+        return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+
+    # every score is computed once, however often the metrics name it
+    return got.select(key, let(F.struct(*[c for c in got.columns if c != key]), all_metrics).alias("metrics"))
 
 
 def cell_comparison(reference: DataFrame, predicted: DataFrame, key: list[str]) -> DataFrame:
