@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from foliant.runtime import materialize, read_table
 
-LEAST = 20  # occurrences of a word that others may be corrected to; the same for a corpus of any size
+LEAST = 10  # occurrences of a word that others may be corrected to; the same for a corpus of any size
 RATIO = 15  # how much more often the right word occurs than the misread one
 SUPPORT = 4  # different rare words that a confusion must explain
 REVERSED = 2  # and that the reverse of such a confusion must explain
