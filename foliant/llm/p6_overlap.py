@@ -4,9 +4,10 @@ Method: edit-distance segment join. An evaluation text of length L has at most
 k = L // 9 edits to any partner (a tenth of the longer length), so of k + 1
 disjoint segments one is intact and starts in the partner but few characters
 off. Training texts look up all their substrings of segment length; partners
-pass two bounds on hashed character n-grams (an edit changes at most n of them
-on either side) and are verified with banded dynamic programming. No bucket is
-capped: candidates are counted in blocks of bounded size instead of emitted.
+pass bounds on the characters before the segment (few edits lie there), on how
+often each character occurs and on hashed character 3-grams (an edit changes at
+most n n-grams on either side) and are verified with banded dynamic programming.
+No bucket is capped: candidates are counted in blocks of bounded size instead of emitted.
 Which k + 1 disjoint segments are cut is chosen by how rare they are in the
 block's training texts near their places.
 
@@ -40,11 +41,14 @@ from foliant.runtime import materialize, read_table
 QUERIES = 8_000_000  # characters of the evaluation texts in a block, about
 RATIO = 1.6  # of the lengths of the evaluation texts in a block, at most
 PART = 6_000_000  # characters of the training texts in a part of a block, about
-SLOTS, PLACES = 1 << 18, 16  # of the index of segments: by hash, and by place in the text
+SLOTS, PLACES = 1 << 17, 32  # of the index of segments: by hash, and by place in the text
+WINDOW = 24  # characters before a segment that are compared first
+HITS = 1 << 15  # postings looked at together, about
 WORK = 1 << 25  # cells of the choice of segments at once
 SLICE = 1 << 12  # pairs whose n-grams are compared at once
+SIGNS = np.uint64(0x8000800080008000)  # of four lanes in a word
 PIECE = 128  # segments chosen together
-BITS2, BITS3 = 2, 8  # bits for hashed n-grams, for each character of the longest text
+BITS1, BITS3 = 1, 8  # bits for counted characters and for hashed 3-grams, for each character of the longest text
 BATCH = 4_096  # pairs verified at once
 
 _ZONES = ((0x0, 0x900, "L"), (0x900, 0x980, "D"), (0x1900, 0x1950, "I"), (0x1C00, 0x1C50, "R"), (0x1C50, 0x1C80, "O"), (0x1E00, 0x2000, "L"), (0x11480, 0x114E0, "T"), (0x11BC0, 0x11C00, "S"))
@@ -112,6 +116,52 @@ def _bits(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray, n: int, bit
     return out
 
 
+def _counts(flat: np.ndarray, lengths: np.ndarray, bits: int) -> np.ndarray:
+    """For each text the parities, by hash, of its characters, each with its how-manieth occurrence.
+
+    As many bits differ at most as the texts have such characters of their own: 2 for each edit.
+    """
+    out = np.zeros((len(lengths), bits // 64), dtype=np.uint64)
+    ends = np.cumsum(lengths)
+    for s in range(0, len(lengths), 512):
+        m = lengths[s : s + 512]
+        end = ends[s + len(m) - 1]
+        key = np.sort((np.repeat(np.arange(len(m), dtype=np.uint32), m).astype(np.uint64) << np.uint64(32)) | flat[end - m.sum() : end])
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+        nth = np.arange(len(key)) - np.repeat(new, np.diff(np.append(new, len(key))))
+        h = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32) * np.uint32(0x9E3779B1) + nth.astype(np.uint32) * np.uint32(0x85EBCA6B)
+        h ^= h >> np.uint32(15)
+        h = (h * np.uint32(0x2C1B3C6D)) >> np.uint32(33 - bits.bit_length())
+        odd = np.bincount((key >> np.uint64(32)).astype(np.int64) * bits + h, minlength=len(m) * bits) & 1
+        out[s : s + 512] = np.packbits(odd.astype(np.uint8).reshape(len(m), bits), axis=1).view(np.uint64)
+    return out
+
+
+def _before(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each place of each text the set of the 2-grams in the WINDOW characters before it, hashed to 64 bits.
+
+    WINDOW places come before each text: place p of text i is at begins[i] + p + WINDOW * (i + 1).
+    """
+    one = np.uint64(1) << (_grams(flat, 2) >> np.uint32(26)).astype(np.uint64)
+    row, place = _spread(begins, np.maximum(lengths - 1, 0))
+    size = len(flat) + WINDOW * (len(lengths) + 1)
+    wide = np.zeros(size, dtype=np.uint64)
+    wide[place + WINDOW * (row + 1)] = one[place]
+    span = 1  # of the 2-grams from a place on
+    while 2 * span <= WINDOW - 1:
+        wide = wide[:-span] | wide[span:]
+        span *= 2
+    rest = WINDOW - 1 - span
+    out = np.zeros(size, dtype=np.uint64)
+    np.bitwise_or(wide[: size - WINDOW], wide[rest : rest + size - WINDOW], out=out[WINDOW:])
+    return out
+
+
+def _lanes(*x: np.ndarray) -> np.ndarray:
+    """Four numbers of under 14 bits and any sign in one word; the highest bit of a lane of a sum of two tells that the lane's sum is not negative."""
+    return sum((y.astype(np.int64) + (1 << 14)).astype(np.uint64) << np.uint64(16 * i) for i, y in enumerate(x))
+
+
 def within(a: list[str], b: list[str], k: np.ndarray) -> np.ndarray:
     """Edit distances of the pairs a[i], b[i] where at most k[i], else -1; banded, all pairs in step."""
     n = len(a)
@@ -201,18 +251,25 @@ class Block:
         flat, begins, self.lengths = _codes(texts)
         self.k = self.lengths // 9
         longest = int(self.lengths.max())
-        self.bounds = [(n, bits, _bits(flat, begins, self.lengths, n, bits)) for n, bits in ((n, max(64, 1 << min(18, (x * longest - 1).bit_length()))) for n, x in ((2, BITS2), (3, BITS3)))]
-        common = _codes(texts if others is None else others)
+        self.shift = max(0, longest.bit_length() - 13)  # places in longer texts are compared less finely
+        bits1, bits3 = (max(64, 1 << min(18, (x * longest - 1).bit_length())) for x in (BITS1, BITS3))
+        self.bounds = [(1, bits1, _counts(flat, self.lengths, bits1)), (3, bits3, _bits(flat, begins, self.lengths, 3, bits3))]
+        common = texts if others is None else others
         sizes = np.array([segment_length(n) for n in self.lengths])
-        self.held = []  # for each segment length: width of a place, reach, postings of each slot and place, text and bounds of each posting
+        before = _before(flat, begins, self.lengths)
+        # for each segment length, by place from the front and from the end: what to look at, postings of each slot and place, text and bounds of each posting
+        self.held = []
         for q in sorted(set(sizes.tolist()) - {0}):
             ids = np.flatnonzero(sizes == q)
             wide = max(1, -(-int(self.lengths[ids].max()) // PLACES))
             grams = _slots(flat, q)
             owner, starts = [], []
-            at, where = _spread(common[1], np.maximum(common[2] - q + 1, 0))
-            seen = np.bincount(_slots(common[0], q)[where] + np.minimum((where - common[1][at]) // wide, PLACES - 1), minlength=SLOTS * PLACES)
-            seen = np.concatenate([[0], np.cumsum(seen)]).astype(np.int32 if len(where) < 1 << 31 else np.int64)
+            seen = np.zeros(SLOTS * PLACES + 1, dtype=np.int64)
+            for s in range(0, len(common), SLICE):
+                others, at, n = _codes(common[s : s + SLICE])
+                row, place = _spread(at, np.maximum(n - q + 1, 0))
+                seen[1:] += np.bincount(_slots(others, q)[place] + np.minimum((place - at[row]) // wide, PLACES - 1), minlength=SLOTS * PLACES)
+            seen = np.cumsum(seen).astype(np.int32 if seen.sum() < 1 << 31 else np.int64)
             for k in np.unique(self.k[ids]).tolist():
                 same = ids[self.k[ids] == k]
                 weights = (2 * np.minimum(np.arange(k + 1), k - np.arange(k + 1)) + 1).astype(np.float32)
@@ -233,54 +290,96 @@ class Block:
                     starts.append(np.concatenate(got, axis=1).ravel())
                     owner.append(np.repeat(part, k + 1))
             owner, start = np.concatenate(owner), np.concatenate(starts)
+            order = np.argsort(owner, kind="stable")
+            owner, start = owner[order], start[order]
             no = np.concatenate([[0], np.cumsum(owner[1:] != owner[:-1])])
             no = np.arange(len(owner)) - np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))[no]
-            key = grams[begins[owner] + start] + start // wide
-            order = np.argsort(key, kind="stable")
-            first = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=SLOTS * PLACES))]).astype(np.int32)
-            owner, start, no = owner[order], start[order], no[order]
+            # edits up to the segment's start: in the window before it at most as many as segments end after the window's start
+            ends = owner * (2 * longest) + start + q
+            window = np.arange(len(owner)) - np.maximum(np.searchsorted(ends, owner * (2 * longest) + np.maximum(start - WINDOW, -1), side="right"), np.arange(len(owner)) - no)
             behind, tail = self.k[owner] - no, start - self.lengths[owner]
-            # where the segment may start in a partner, from its front and from its end
-            bounds = np.stack([start - no, start + no, tail - behind, tail + behind], axis=1).astype(np.int16 if longest < 20_000 else np.int32)
-            self.held.append((q, wide, int(self.k[ids].max()), first, owner.astype(np.int32), bounds))
+            sets = before[begins[owner] + start + WINDOW * (owner + 1)]
+            for back in (False, True):
+                mine = np.flatnonzero((behind < no) == back)
+                if len(mine):
+                    order, low, high, first = self._index(grams[begins[owner[mine]] + start[mine]], -tail[mine] if back else start[mine], (behind if back else no)[mine])
+                    mine = mine[order]
+                    # where the segment may start in a partner, from its front and from its end
+                    bounds = _lanes(*(y * (x[mine] >> self.shift) for x, y in ((start - no, -1), (start + no, 1), (tail - behind, -1), (tail + behind, 1))))
+                    most = np.minimum(4 * window[mine], 64).astype(np.uint8)
+                    self.held.append((q, back, low, high, first, owner[mine].astype(np.int32), bounds, sets[mine], most))
+
+    @staticmethod
+    def _index(slot: np.ndarray, place: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Order of the postings by slot and place; for each place of a given text the first place to look at and the one after the last; where each slot and place begins."""
+        wide = int(place.max()) // PLACES + 1
+        low, high = np.full(PLACES, np.iinfo(np.int64).max), np.full(PLACES, -1)
+        np.minimum.at(low, place // wide, place - reach)
+        np.maximum.at(high, place // wide, place + reach)
+        low, high = np.minimum.accumulate(low[::-1])[::-1], np.maximum.accumulate(high)
+        key = slot + place // wide
+        first = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=SLOTS * PLACES))]).astype(np.int32)
+        near = np.arange(int(high[-1]) + 1)
+        return np.argsort(key, kind="stable"), np.searchsorted(high, near, side="left"), np.searchsorted(low, near, side="right"), first
 
     def partners(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(given text, evaluation text) of the pairs that pass the segment and n-gram bounds.
 
         Of k + 1 segments, take the first with at most as many edits up to its end
         as segments before it: it is intact, with at most j edits before it and
-        k - j behind it. Only such places are looked at.
+        k - j behind it, and at most i edits from the end of the segment i + 1 before
+        it on. Only such places are looked at.
         """
         flat, begins, lengths = _codes(texts)
+        before = _before(flat, begins, lengths)
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        for q, wide, reach, first, owner, bounds in self.held:
+        for q, back, low, high, first, owner, bounds, sets, most in self.held:
             row, place = _spread(begins, np.maximum(lengths - q + 1, 0))
-            if not len(place):
-                continue
-            slot, p = _slots(flat, q)[place], place - begins[row]
-            low = first[slot + np.minimum(np.maximum(p - reach, 0) // wide, PLACES - 1)]
-            n = first[slot + np.minimum((p + reach) // wide, PLACES - 1) + 1] - low
+            front = place - begins[row]
+            x = lengths[row] - front if back else front
+            near = np.flatnonzero(x < len(low))
+            row, place, front, x = row[near], place[near], front[near], x[near]
+            slot = _slots(flat, q)[place]
+            start = first[slot + low[x]]
+            n = np.maximum(first[slot + high[x]] - start, 0)
             hit = np.flatnonzero(n)
-            which, post = _spread(low[hit], n[hit])
-            row, front = row[hit], p[hit]
-            may = bounds.take(post, axis=0, mode="clip")
-            f, e = front.astype(bounds.dtype).take(which), (front - lengths[row]).astype(bounds.dtype).take(which)
-            ok = np.flatnonzero((f >= may[:, 0]) & (f <= may[:, 1]) & (e >= may[:, 2]) & (e <= may[:, 3]))
-            found.append((row[which[ok]], owner[post[ok]]))
+            if not len(hit):
+                continue
+            row, front, start, n = row[hit], front[hit], start[hit], n[hit]
+            f, e = np.minimum(front >> self.shift, (1 << 14) - 1), np.maximum((front - lengths[row]) >> self.shift, 1 - (1 << 14))
+            f, at = _lanes(f, -f, e, -e), begins[row] + front + WINDOW * (row + 1)
+            past = np.cumsum(n)
+            cuts = np.unique(np.searchsorted(past, np.arange(0, int(past[-1]), HITS), side="right"))
+            start = (start - past + n).astype(np.int64)
+            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(n)], strict=True):  # small enough for the processor's cache
+                which = np.repeat(np.arange(i, j, dtype=np.int32), n[i:j])
+                post = start.take(which)
+                post += np.arange(past[i] - n[i], past[j - 1])
+                ok = f.take(which)
+                ok += bounds.take(post)
+                ok &= SIGNS
+                ok = np.flatnonzero(ok == SIGNS)
+                which, post = which[ok], post[ok]
+                ok = np.flatnonzero(np.bitwise_count(sets.take(post) ^ before.take(at.take(which))) <= most.take(post))
+                found.append((row[which[ok]], owner[post[ok]]))
         if not found:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         t, e = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
         k = np.maximum(lengths[t], self.lengths[e]) // 10
         for n, bits, table in self.bounds:
             some, at = np.unique(t, return_inverse=True) if n > 2 else (np.arange(len(texts)), t)
-            own = _bits(flat, begins[some], lengths[some], n, bits)
+            own = _bits(flat, begins[some], lengths[some], n, bits) if n > 1 else _counts(flat, lengths, bits)
             ok = np.zeros(len(t), dtype=bool)
             for s in range(0, len(t), SLICE):  # small enough for the processor's cache
                 x = table.take(e[s : s + SLICE], axis=0, mode="clip")
                 x ^= own.take(at[s : s + SLICE], axis=0, mode="clip")
-                ok[s : s + SLICE] = np.bitwise_count(x).sum(1, dtype=np.int32) <= 2 * n * k[s : s + SLICE]
-            t, e, k = t[ok], e[ok], k[ok]
-        return np.divmod(np.unique(t * len(self.texts) + e), len(self.texts))
+                x = np.bitwise_count(x)
+                # few words: by column, as sums of short rows are slow
+                differ = x.sum(1, dtype=np.int32) if x.shape[1] > 8 else sum(x[:, w].astype(np.uint16) for w in range(x.shape[1]))
+                ok[s : s + SLICE] = differ <= 2 * n * k[s : s + SLICE]
+            t, e = np.divmod(np.unique(t[ok] * len(self.texts) + e[ok]), len(self.texts))
+            k = np.maximum(lengths[t], self.lengths[e]) // 10
+        return t, e
 
     def match(self, texts: list[str]) -> list[tuple[int, int, int]]:
         """(evaluation text, given text, edit distance) of all pairs within a tenth."""

@@ -346,6 +346,32 @@ def test_p6_long_texts_are_cut_piecewise(alphabet):
         assert {(i, i) for i in range(6)} <= got
 
 
+def test_p6_like_texts_are_told_apart_before_they_are_aligned():
+    held = ["ab " * 20 + "cd " * 10, "the book of the village was brought here two days later"]
+    train = ["ab " * 10 + "cd " * 20, held[1][:30] + held[1][32:]]
+    t, e = p6.Block(held, train).partners(train)
+    assert list(zip(t.tolist(), e.tolist(), strict=True)) == [(1, 1)]
+
+
+def test_p6_texts_of_few_patterns_are_complete():
+    rng = random.Random(6)
+    opening, end = ("the old ", "the new ", "a small "), (" was read aloud by the teacher", " was brought from the village", " was lost two days later")
+    word = ("book", "letter", "map of the river", "list")
+    held, train = ([rng.choice(opening) + rng.choice(word) + rng.choice((" ", " and a ")) + rng.choice(word) + rng.choice(end) + "".join(rng.choice("xyz") for _ in range(rng.randint(0, 5))) for _ in range(150)] for _ in range(2))
+    train += [_edit(rng, t, rng.randint(0, len(t) // 9)) for t in held]
+    got = {(i, j): d for i, j, d in p6.Block(held, train).match(train)}
+    assert got == {(i, j): d for i, a in enumerate(held) for j, b in enumerate(train) if abs(len(a) - len(b)) <= (k := max(len(a), len(b)) // 10) and (d := int(p6.within([a], [b], np.array([k]))[0])) >= 0}
+    assert len(got) > 300
+
+
+def test_p6_counts_of_characters_bound_the_edits():
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randint(1, 300))) for _ in range(300)]
+    edits = [rng.randint(0, 12) for _ in texts]
+    a, b = (p6._counts(flat, lengths, 256) for flat, _, lengths in map(p6._codes, (texts, [_edit(rng, t, n) for t, n in zip(texts, edits, strict=True)])))
+    assert (np.bitwise_count(a ^ b).sum(1) <= 2 * np.array(edits)).all()
+
+
 def test_p6_rarest_segments_are_disjoint_and_cheapest():
     rng = np.random.RandomState(0)
     cost = rng.randint(1, 9, (9, 5)).astype(np.float32)
